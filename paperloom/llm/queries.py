@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_rules, mixing, url_graph
 from .common import table
 
 QUERIES = {
+    "op2_url_graph": lambda spark, d: url_graph.op2(table(spark, d, "pages")),
+    "op4_line_rules": lambda spark, d: line_rules.op4(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7(table(spark, d, "documents")),
 }
 ORACLES = {
+    "op2_url_graph": url_graph.ORACLE_SQL,
+    "op4_line_rules": line_rules.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
