@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_rules, mixing, substring_dedup, url_graph
+from . import jaccard_join, line_rules, mixing, substring_dedup, url_graph
 from .common import table
 
 QUERIES = {
     "op2_url_graph": lambda spark, d: url_graph.op2(table(spark, d, "pages")),
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3(table(spark, d, "documents")),
     "op4_line_rules": lambda spark, d: line_rules.op4(table(spark, d, "documents")),
+    "op6_jaccard_join": lambda spark, d: jaccard_join.op6(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7(table(spark, d, "documents")),
 }
 ORACLES = {
     "op2_url_graph": url_graph.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_line_rules": line_rules.ORACLE_SQL,
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
