@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_rules, mixing, substring_dedup, url_graph
+from . import jaccard_join, line_rules, mixing, packing, simple8b, substring_dedup, url_graph
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_line_rules": lambda spark, d: line_rules.op4(table(spark, d, "documents")),
     "op6_jaccard_join": lambda spark, d: jaccard_join.op6(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7(table(spark, d, "documents")),
+    "op8_packing": lambda spark, d: packing.op8(table(spark, d, "documents")),
+    "op10_simple8b": lambda spark, d: simple8b.op10(table(spark, d, "documents")),
 }
 ORACLES = {
     "op2_url_graph": url_graph.ORACLE_SQL,
