@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_rules, mixing, packing, simple8b, substring_dedup, url_graph
+from . import jaccard_join, language_id, line_rules, mixing, packing, simple8b, substring_dedup, url_graph
 from .common import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, d: language_id.op1(table(spark, d, "documents")),
     "op2_url_graph": lambda spark, d: url_graph.op2(table(spark, d, "pages")),
     "op3_substring_dedup": lambda spark, d: substring_dedup.op3(table(spark, d, "documents")),
     "op4_line_rules": lambda spark, d: line_rules.op4(table(spark, d, "documents")),
