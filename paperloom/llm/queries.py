@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, line_rules, mixing, packing, simple8b, substring_dedup, url_graph
+from . import embedding_dedup, jaccard_join, language_id, line_rules, mixing, packing, simple8b, substring_dedup, url_graph
 from .common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jaccard_join": lambda spark, d: jaccard_join.op6(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.op7(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: packing.op8(table(spark, d, "documents")),
+    "op9_embedding_dedup": lambda spark, d: embedding_dedup.op9(table(spark, d, "embeddings")),
     "op10_simple8b": lambda spark, d: simple8b.op10(table(spark, d, "documents")),
 }
 ORACLES = {
@@ -20,5 +21,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_line_rules": line_rules.ORACLE_SQL,
     "op6_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
