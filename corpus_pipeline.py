@@ -1 +1,54 @@
-STAGES = []
+"""From documents to packed training sequences, as stages that each take and return a DataFrame.
+
+language ID -> one document of each near-duplicate group -> repeated passages removed -> sources mixed
+to their weights -> token ids cut into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import jaccard_join, language_id, mixing, packing, substring_dedup
+from paperloom.llm.common import cut, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; the others go."""
+    return language_id.of_known_language(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that an earlier document has are removed, and documents that lose every word go."""
+    left = substring_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return left.where(F.length("text") > 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence, with its ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", known_language), ("n-gram Jaccard join", one_of_each_group), ("substring dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
+
+#: SQL has neither the language model nor the tokenizer; the tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
