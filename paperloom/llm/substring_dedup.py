@@ -8,8 +8,8 @@ window:
 1. anchors go to hash buckets in packed form; each batch of documents sends an anchor that several
    of its documents have once, so a passage that a third of all documents hold stays small;
 2. anchors of two or more documents come back as (document, position);
-3. each such position extends to the windows around it, which are hashed in full (128 bits); the
-   smallest document of each window is found by a grouped minimum, and joined back;
+3. each such position extends to the windows around it, which are hashed in full (80 bits) and dealt
+   to buckets in the same way; each window's smallest document is found there;
 4. words under a window that starts in a smaller document are removed.
 
 Defined results: null text has no words; texts shorter than a window lose nothing; rows with a null
@@ -27,34 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
 from .hashing import chunks, sequences, word_hashes
+from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text that one bucket of anchors stands for.
-BUCKET_BYTES = 4 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    """48 bits of hash, document and position; differences and split halves, so that shuffle files compress well."""
-    d = np.diff(doc, prepend=np.int64(0)).view(np.uint64)
-    p = np.diff(pos, prepend=np.int64(0)).astype(np.int32).view(np.uint32)
-    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
-    parts = ((h & low, "<u4"), (h >> half, "<u2"), (d & low, "<u4"), (d >> half, "<u4"), (p & np.uint32(0xFFFF), "<u2"), (p >> np.uint32(16), "<u2"))
-    return b"".join(x.astype(kind).tobytes() for x, kind in parts)
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, at, out = len(data) // 18, 0, []
-    for kind in ("<u4", "<u2", "<u4", "<u4", "<u2", "<u2"):
-        out.append(np.frombuffer(data, kind, n, at).astype(np.uint64))
-        at += n * int(kind[2])
-    half = np.uint64(32)
-    h, d = out[0] | out[1] << half, (out[2] | out[3] << half).view(np.int64)
-    p = (out[4] | out[5] << np.uint64(16)).astype(np.uint32).view(np.int32)
-    return h, np.cumsum(d), np.cumsum(p.astype(np.int64))
+#: Parts of hash in a record: 40 bits beside the bucket for anchors, 80 bits for windows.
+_ANCHOR_HASH, _WINDOW_HASH = ("<u4", "<u1"), ("<u4", "<u4", "<u2")
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,50 +60,41 @@ def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Buckets below ``buckets`` hold one record of each anchor that the batch can't judge alone; above them are positions known to be shared."""
+    """Buckets below ``buckets`` get one record of each anchor that the batch can't judge alone; those above, positions known to be shared."""
     for k, batch in enumerate(batches):
         h, doc, pos = _anchors(batch)
         if len(h) == 0:
             continue
-        order = np.argsort(h, kind="stable")
-        begin = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
-        size = np.diff(np.r_[begin, len(h)])
-        several = np.minimum.reduceat(doc[order], begin) != np.maximum.reduceat(doc[order], begin)
+        order, begin, size = grouped(h)
+        several = of_several(order, begin, doc)
         shared = np.zeros(len(h), bool)
         shared[order] = np.repeat(several, size)
         once = ~shared
         once[order[begin[several]]] = True  # one record of each shared anchor tells other batches of it
-        known = np.where(shared, -1, pos)
-        bucket, send = ((h % np.uint64(buckets)).astype(np.int64))[once], (h // np.uint64(buckets) & np.uint64(0xFFFFFFFFFFFF))[once]
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        send, sender, place = send[by], doc[once][by], known[once][by]
-        rows = [(b, _pack(send[i:j], sender[i:j], place[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-        if shared.any():
-            at = int(h[0] % np.uint64(buckets))
-            rows.append((buckets + (at + k) % buckets, _pack(np.zeros(int(shared.sum()), np.uint64), doc[shared], pos[shared])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "packed"])
+        sent = h[once]
+        rest = sent // np.uint64(buckets)
+        halves = [rest & _LOW, (rest >> np.uint64(32)) & np.uint64(0xFF)]
+        out = dealt((sent % np.uint64(buckets)).astype(np.int64), halves, _ANCHOR_HASH, [doc[once], np.where(shared, -1, pos)[once]], buckets)
+        yield rows(out + known(_ANCHOR_HASH, [doc[shared], pos[shared]], buckets + (int(h[0] % np.uint64(buckets)) + k) % buckets))
 
 
 def _reply(group: pa.Table, buckets: int) -> pa.Table:
     """(doc_id, pos) of anchors that several documents have."""
-    parts = [_unpack(x) for x in group.column("packed").to_pylist()]
-    h, doc, pos = (np.concatenate(x) for x in zip(*parts))
+    low, high, doc, pos = unpack_all(group, _ANCHOR_HASH, 2)
     if group.column("bucket")[0].as_py() < buckets:
-        order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        begin = np.flatnonzero(np.r_[True, np.diff(h) != 0])
-        several = (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)) | (np.minimum.reduceat(pos, begin) < 0)
-        keep = np.repeat(several, np.diff(np.r_[begin, len(h)])) & (pos >= 0)
+        order, begin, size = grouped(low | high << np.uint64(32))
+        several = of_several(order, begin, doc)
+        doc, pos = doc[order], pos[order]
+        several |= np.minimum.reduceat(pos, begin) < 0
+        keep = np.repeat(several, size) & (pos >= 0)
         doc, pos = doc[keep], pos[keep]
     return pa.table({"doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos.astype(np.int32), pa.int32())})
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
+def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, pos) of every anchor at a cover position that another document has at one; a few hash collisions more."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs, "text") // BUCKET_BYTES))
-    known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    sent = known.mapInArrow(lambda batches: _send(batches, buckets), "bucket long, packed binary")
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    sent = texts.mapInArrow(lambda batches: _send(batches, buckets), SCHEMA)
     return sent.groupBy("bucket").applyInArrow(lambda group: _reply(group, buckets), "doc_id long, pos int")
 
 
@@ -131,39 +105,58 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows around shared anchors."""
-    for batch in batches:
+def _windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows around shared anchors, like :func:`_send`: of each window the batch sends only its smallest document, and knows that the others repeat it."""
+    for k, batch in enumerate(batches):
         batch = batch.filter(batch.column("found").is_valid())
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         found, at = _lists(batch.column("found"))
+        parts = []
         for first, last, data, offsets in chunks(batch.column("text")):
             words, bounds = word_hashes(data, offsets)
             if len(words) < WINDOW:
                 continue
             row = np.repeat(np.arange(last - first), np.diff(bounds))
             n = len(words) - WINDOW + 1
-            mark = np.zeros(len(words) + 1, np.int32)
             anchor = found[at[first] : at[last]].astype(np.int64)
             owner = np.repeat(np.arange(last - first), np.diff(at[first : last + 1]))
-            np.add.at(mark, bounds[owner] + np.maximum(anchor - (WINDOW - ANCHOR), 0), 1)
-            np.add.at(mark, bounds[owner] + anchor + 1, -1)
+            mark = np.bincount(bounds[owner] + np.maximum(anchor - (WINDOW - ANCHOR), 0), minlength=len(words) + 1)
+            mark = mark - np.bincount(bounds[owner] + anchor + 1, minlength=len(words) + 1)
             start = np.flatnonzero((np.cumsum(mark)[:n] > 0) & (row[:n] == row[WINDOW - 1 :]))
-            if len(start):
-                a, b = sequences(words, WINDOW)[start], sequences(words, WINDOW, 1)[start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[first + row[start]], pa.int64()), pa.array((start - bounds[row[start]]).astype(np.int32))], ["a", "b", "doc_id", "start"]
-                )
+            a, b = sequences(words, WINDOW)[start], sequences(words, WINDOW, 1)[start] & np.uint64(0xFFFF)
+            parts.append((a, b, ids[first + row[start]].astype(np.int64), start - bounds[row[start]]))
+        a, b, doc, pos = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.uint64)] * 4
+        if len(a) == 0:
+            continue
+        order, begin, size = grouped(a ^ (b << np.uint64(48)))
+        least = np.empty(len(a), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], begin), size)
+        again = doc > least
+        send = [x[~again] for x in (a, b, doc, pos)]
+        out = dealt((send[0] % np.uint64(buckets)).astype(np.int64), [send[0] & _LOW, send[0] >> np.uint64(32), send[1]], _WINDOW_HASH, send[2:], buckets)
+        yield rows(out + known(_WINDOW_HASH, [doc[again], pos[again]], buckets + (int(a[0] % np.uint64(buckets)) + k) % buckets))
+
+
+def _judge(group: pa.Table, buckets: int) -> pa.Table:
+    """(doc_id, start) of windows that a smaller document has too."""
+    low, high, more, doc, pos = unpack_all(group, _WINDOW_HASH, 2)
+    if group.column("bucket")[0].as_py() < buckets:
+        order = np.lexsort((more, low | high << np.uint64(32)))
+        low, high, more, doc, pos = (x[order] for x in (low, high, more, doc, pos))
+        begin = np.flatnonzero(np.r_[True, (np.diff(low) != 0) | (np.diff(high) != 0) | (np.diff(more) != 0)])
+        keep = doc > np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(doc)]))
+        doc, pos = doc[keep], pos[keep]
+    return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(pos.astype(np.int32), pa.int32())})
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, starts): word numbers at which a window starts that also starts in a smaller document."""
     texts = docs.select("doc_id", "text")
-    found = shared_anchors(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("pos").alias("found"))
+    buckets = bucket_count(docs)
+    found = shared_anchors(docs, buckets).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("pos").alias("found"))
     near = texts.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
-    windows = near.mapInArrow(_windows, "a long, b long, doc_id long, start int")
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    again = windows.join(first, ["a", "b"]).where("doc_id > first")
+    windows = near.mapInArrow(lambda batches: _windows(batches, buckets), SCHEMA)
+    again = windows.groupBy("bucket").applyInArrow(lambda group: _judge(group, buckets), "doc_id long, start int")
     return again.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("start").alias("starts"))
 
 
@@ -177,9 +170,7 @@ def _kept(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
             n_words.append(len(words))
             here = starts[at[k] : at[k + 1]].astype(np.int64)
             if len(here):
-                mark = np.zeros(len(words) + 1, np.int32)
-                np.add.at(mark, here, 1)
-                np.add.at(mark, here + WINDOW, -1)
+                mark = np.bincount(here, minlength=len(words) + 1) - np.bincount(here + WINDOW, minlength=len(words) + 1)
                 gone = np.cumsum(mark)[:-1] > 0
                 n_removed.append(int(gone.sum()))
                 words = [w for w, g in zip(words, gone) if not g]
