@@ -1,65 +1,109 @@
-"""Token ids of whole texts by the tokenizers library, with pieces of text encoded once per task.
+"""Token ids of whole texts by the tokenizers library, which sees each distinct piece of text once.
 
-A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids are those of the
-whole text; a cache of encoded pieces then replaces most calls of the library. Texts with anything
-that makes the cuts unsure (rare white space, a special token's string) go to the library whole.
+A text is cut only where the tokenizer's own pre-tokenizer always cuts: before each run of blanks or
+line ends, and between a run of Latin letters and the punctuation that ends a word. So the ids are
+those of the whole text. New runs of letters go to the library many at a time, as one text. Texts with
+anything that makes the cuts unsure (rare white space, a special token's string) go to it whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-#: Pieces that a task remembers; when they are reached it starts anew.
-CACHE = 400_000
-#: Starts before each run of blanks or line ends: no token crosses such a place in byte-level BPE.
+#: Pieces that a task remembers; when they are reached it starts anew. Pieces that the library gets at once.
+CACHE, AT_ONCE = 600_000, 4_000
 _SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _WORDS = re.compile(r"[^ \n\t\r\x0b\x0c]+")
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
+#: White space other than blanks and line ends.
+_RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_TAIL = '.,;:!?%#&*$|"()'
+
+
+class _Codes(dict):
+    """Numbers its keys as they are first asked for, and lists new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
 
 
 class Encoder:
     """Encodes lists of texts to one array of ids and the number of ids of each text."""
 
     def __init__(self, path: str, drops_space: bool, end: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end, self.drops_space = Tokenizer.from_file(path), end, drops_space
         self.cut = (_WORDS if drops_space else _SPACED).findall
-        self.end = end
+        # ids that end a word, or that begin with a blank: they part the runs of letters of one text
+        size = self.tokenizer.get_vocab_size()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.parts = np.array([x.endswith("</w>") if drops_space else x.startswith("\u0120") for x in names])
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.codes, self.runs, self.tails = _Codes(), {}, {"": ()}
+        self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(x.ids) for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """Ids of runs of letters, each with a leading blank unless blanks are dropped."""
+        out = []
+        for k in range(0, len(runs), AT_ONCE):
+            some = runs[k : k + AT_ONCE]
+            ids = self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids
+            marks = np.flatnonzero(self.parts[ids])
+            edges = [0, *(marks + 1)] if self.drops_space else [*marks, len(ids)]
+            out += [tuple(ids[i:j]) for i, j in zip(edges[:-1], edges[1:])] if len(edges) == len(some) + 1 else self._library(some)
+        return out
+
+    def _split(self, piece: str) -> tuple[str, str] | None:
+        """The run of letters and the tail of a piece of that form."""
+        run = piece.rstrip(_TAIL)
+        letters = run if self.drops_space else run[1:]
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and (self.drops_space or run[0] == " "):
+            return (run.lower() if self.drops_space else run), piece[len(run) :]
+        return None
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        split = [self._split(p) for p in pieces]
+        runs = list({s[0] for s in split if s} - self.runs.keys())
+        self.runs.update(zip(runs, self._runs(runs)))
+        tails = list({s[1] for s in split if s} - self.tails.keys())
+        self.tails.update(zip(tails, self._library(tails)))
+        others = iter(self._library([p for p, s in zip(pieces, split) if not s]))
+        found = [self.runs[s[0]] + self.tails[s[1]] if s else next(others) for s in split]
+        size = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(size.sum()))]
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each; null texts are empty."""
+        if len(self.codes) > CACHE or len(self.ids) > 16 * CACHE:
+            self.reset()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                own = [text] if _ODD.search(text) else self.cut(text)
+                whole = "<|" in text or not self.drops_space and any(c in text for c in _RARE_SPACES)
+                own = [text] if whole else self.cut(text)
                 pieces += own
                 counts[k] = len(own)
-        if len(self.known) > CACHE:
-            self.reset()
-        new = list({p for p in pieces if p not in self.known}) if len(self.known) else list(set(pieces))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        code = np.fromiter(map(get, pieces), np.int64, len(pieces))
+        code = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
         size = self.size[code]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0

@@ -25,7 +25,7 @@ from .encoding import Encoder
 
 TOKENIZER, END, LENGTH = "word_bpe_49k.json", 2, 4096
 #: Texts that are encoded together, in characters.
-STEP = 4_000_000
+STEP = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
