@@ -37,6 +37,8 @@ TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Ids in a word, by selector; each has 60 // count bits.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 ESCAPE, BLOCK, FILE_IDS = 15, 1024, 8_000_000
+#: Ids coded, and blocks decoded, in one step.
+SLICE = 512 * BLOCK
 #: Bytes of text in a partition, at most; more partitions if the session asks for them.
 PARTITION_BYTES = 64 << 20
 MAGIC = b"S8BTOK01"
@@ -114,7 +116,14 @@ def decode(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def to_file(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    words, offsets = encode(ids)
+    words, offsets, at = [], [], 0
+    for k in range(0, len(ids), SLICE):
+        w, first = encode(ids[k : k + SLICE])
+        words.append(w)
+        offsets.append(first + at)
+        at += len(w)
+    words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    offsets = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
     head = np.array([len(lengths), len(ids), len(offsets), len(words)], "<i8")
     return MAGIC + head.tobytes() + lengths.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + words.astype("<u8").tobytes()
 
@@ -126,7 +135,14 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     docs, n, blocks, count = np.frombuffer(data, "<i8", 4, 8)
     lengths = np.frombuffer(data, "<i8", docs, 40)
     offsets = np.frombuffer(data, "<i8", blocks, 40 + 8 * docs)
-    ids = decode(np.frombuffer(data, "<u8", count, 40 + 8 * (docs + blocks)), offsets)
+    words, step = np.frombuffer(data, "<u8", count, 40 + 8 * (docs + blocks)), SLICE // BLOCK
+    edges = [*range(0, blocks, step), blocks]
+    parts = []
+    for i, j in zip(edges[:-1], edges[1:]):
+        first, last = int(offsets[i]), int(offsets[j]) if j < blocks else int(count)
+        part = decode(words[first:last], offsets[i:j] - first)
+        parts.append(part.astype(np.uint32) if len(part) and part.max() < 1 << 32 else part)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     if len(ids) != n:
         raise ValueError(f"{len(ids)} ids where the header says {n}")
     return ids, lengths
@@ -195,12 +211,14 @@ def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and the ids (or their crc32) of each document, from the files."""
+    kind = manifest.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, start long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long")
+    if manifest.isEmpty():
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    kind = manifest.schema["doc_ids"].dataType.elementType.simpleString()
-    value = "ids binary" if whole else "ids_crc32 long"
     both = join_small(named, manifest.select("file", "doc_ids", "base"), "file", max_rows=2_000)
-    return both.select("content", "doc_ids", "base").mapInArrow(lambda b: _read(b, whole), f"doc_id {kind}, start long, n_tokens long, {value}")
+    return both.select("content", "doc_ids", "base").mapInArrow(lambda b: _read(b, whole), schema)
 
 
 def op10(docs: DataFrame) -> DataFrame:
