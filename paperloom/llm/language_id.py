@@ -116,7 +116,7 @@ class Model:
         self.tables, self.cost, self.escape = [], [], []
         last_keys, last_cost = None, None
         for n in range(1, ORDER + 2):
-            keys = np.unique(np.concatenate([k for k, _ in counts[n - 1].values()]))
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in counts[n - 1].values())]))
             parents = np.unique(keys >> np.uint64(8))
             cost, escape = np.zeros((len(keys), len(self.languages)), np.float32), np.zeros((len(parents), len(self.languages)), np.float32)
             for j, name in enumerate(self.languages):
