@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
-    return df.checkpoint(eager=True)
+from ..session import cut
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", scope: tuple[str, ...] = ()) -> DataFrame:
@@ -22,14 +15,14 @@ def reachable(seeds: DataFrame, edges: DataFrame, node: str = "node", src: str =
     shortest path. Each round is written to the checkpoint folder, which bounds the lineage.
     """
     key = [*scope, node]
-    seen = _cut(seeds.select(*key).distinct())
+    seen = cut(seeds.select(*key).distinct())
     frontier, steps = seen, edges.select(*scope, F.col(src).alias(node), F.col(dst).alias("_next"))
     while True:
         following = frontier.join(steps, key).select(*scope, F.col("_next").alias(node)).distinct()
-        frontier = _cut(following.join(seen, key, "left_anti"))
+        frontier = cut(following.join(seen, key, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
 
 
 def orphans(nodes: DataFrame, referenced: DataFrame, key: list[str]) -> DataFrame:
@@ -46,12 +39,12 @@ def tree_levels(roots: DataFrame, edges: DataFrame, max_depth: int = 200, scope:
     """(node, depth): shortest depth below the roots' children (depth 1), first visit wins, no deeper than ``max_depth``."""
     key = [*scope, "node"]
     steps = edges.select(*scope, F.col("src").alias("node"), F.col("dst").alias("_next"))
-    seen = _cut(roots.select(*key).distinct().withColumn("depth", F.lit(0)))
+    seen = cut(roots.select(*key).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):
         following = frontier.join(steps, key).select(*scope, F.col("_next").alias("node")).distinct()
-        frontier = _cut(following.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(following.join(seen, key, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen
