@@ -32,7 +32,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-BYTES = F.octet_length("text")
+def text_bytes():
+    return F.octet_length("text")
+
+
 _DUPS = "dups AS (SELECT doc_id AS duplicate, min(doc_id) OVER (PARTITION BY sha256(text)) AS canonical FROM documents WHERE text IS NOT NULL)"
 
 
@@ -40,7 +43,7 @@ _DUPS = "dups AS (SELECT doc_id AS duplicate, min(doc_id) OVER (PARTITION BY sha
 SELECT sha256(text) AS digest, min(doc_id) AS canonical, count(*) AS members, (count(*) - 1) * max(octet_length(encode(text)))::BIGINT AS bytes_saved
 FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def dedup_groups(spark, d):
-    return dedup.duplicate_groups(table(spark, d, "documents"), dedup.digest("text"), "doc_id", BYTES)
+    return dedup.duplicate_groups(table(spark, d, "documents"), dedup.digest("text"), "doc_id", text_bytes())
 
 
 @query(f"WITH {_DUPS} SELECT * FROM dups WHERE duplicate <> canonical")
@@ -80,7 +83,7 @@ WITH {_DUPS}, sizes AS (
 )
 SELECT *, before_size - after_size AS saved_bytes, floor(1000 * (before_size - after_size) / before_size + 0.5)::BIGINT AS saved_tenths FROM sizes""")
 def survivor_savings(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", BYTES.cast("long").alias("size")).where("text is not null")
+    docs = table(spark, d, "documents").select("doc_id", "text", text_bytes().cast("long").alias("size")).where("text is not null")
     rest = dedup.without_duplicates(docs, dedup.duplicate_map(docs, dedup.digest("text"), "doc_id"), "doc_id")
     both = docs.agg(F.sum("size").alias("before_size"), F.count("*").alias("n_before")).crossJoin(rest.agg(F.sum("size").alias("after_size"), F.count("*").alias("n_after")))
     gone, tenths = diff.saved(F.col("before_size"), F.col("after_size"))
@@ -161,7 +164,7 @@ def _kinds(spark, d):
         ],
         "Other Data",
     )
-    return table(spark, d, "documents").select("doc_id", "source", "lang", kind.alias("kind"), BYTES.cast("long").alias("size"))
+    return table(spark, d, "documents").select("doc_id", "source", "lang", kind.alias("kind"), text_bytes().cast("long").alias("size"))
 
 
 @query(f"WITH {_ROLLUP_SQL} SELECT * FROM rollup UNION ALL SELECT 6, 'Total', count(*), sum(size)::BIGINT FROM kinds")
