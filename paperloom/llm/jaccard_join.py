@@ -6,8 +6,8 @@ similarity reaches PERCENT / 100. With ``e = n - ceil(PERCENT * n / 100)`` no mo
 
 1. Equal sets become one class, represented by its smallest document.
 2. Screening. Under hash order, linked sets share at least ``k`` tokens within the extended prefix of
-   ``e + k`` tokens. Sets with fewer prefix tokens that any other set has in its prefix link with
-   nothing and leave.
+   ``e + k`` tokens. Documents with fewer prefix tokens that any other has in its prefix link with
+   nothing and leave. The tokens travel packed, and each batch sends a token once.
 3. Tokens of the remaining sets are counted over all of them and ordered: rare ones (at most RARE
    sets) first, frequent ones last, by hash within a class. The first shared token of a linked pair
    lies in the prefix of ``e + 1``. If it is rare, it is indexed as a single token. If it is frequent,
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_small
 from .components import components
 from .hashing import chunks, mixed, sequences, word_hashes
+from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens of more sets than this are frequent; neighbouring frequent tokens are combined by COMBINE.
@@ -73,31 +74,72 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, two hashes of the set, and its tokens: all, or those of the extended prefix."""
+def _signed(batches: Iterator[pa.RecordBatch], shingle: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, two hashes of the set, and its tokens if asked for."""
     for batch in batches:
-        rows, n, s1, s2, tokens = [], [], [], [], []
+        found, n, s1, s2, tokens = [], [], [], [], []
         for row, t in _sets(batch, shingle):
-            rows.append(row)
+            found.append(row)
             n.append(len(t))
             s1.append(mixed(t).sum(dtype=np.uint64))
             s2.append(mixed(t ^ _SALT).sum(dtype=np.uint64))
-            tokens.append(t if whole else t[: _missing(len(t), percent) + _extra(len(t), percent)] if len(t) else t)
+            tokens.append(t if whole else t[:0])
         sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), *sums, _arrays(tokens)], ["doc_id", "n", "s1", "s2", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found, pa.int64())), pa.array(n, pa.int32()), *sums, _arrays(tokens)], ["doc_id", "n", "s1", "s2", "tokens"])
 
 
 _SIGNED = "doc_id long, n int, s1 long, s2 long, tokens array<long>"
 
 
-def _screen(prefixes: DataFrame, percent: int) -> DataFrame:
-    """doc_id of representatives whose extended prefix has enough tokens that others have too."""
-    tokens = prefixes.select("doc_id", "n", F.explode("tokens").alias("t"))
-    common = tokens.groupBy("t").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("t")
-    hits = tokens.join(common, "t", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("hits"))
+_TOKEN_HASH = ("<u4", "<u1")  # 40 bits beside the bucket: enough to screen with
+
+
+def _send(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of extended prefixes: buckets below ``buckets`` get one record of each token that the batch can't judge alone; those above, documents of tokens known to be shared."""
+    for k, batch in enumerate(batches):
+        ids, tokens, owner = batch.column("doc_id").to_numpy(zero_copy_only=False), [], []
+        for row, t in _sets(batch, shingle):
+            if len(t):
+                tokens.append(t[: _missing(len(t), percent) + _extra(len(t), percent)])
+                owner.append(np.full(len(tokens[-1]), ids[row], np.int64))
+        if not tokens:
+            continue
+        t, doc = np.concatenate(tokens), np.concatenate(owner)
+        order, begin, size = grouped(t)
+        several = of_several(order, begin, doc)
+        shared = np.zeros(len(t), bool)
+        shared[order] = np.repeat(several, size)
+        once = ~shared
+        once[order[begin[several]]] = True
+        rest = mixed(t[once])
+        parts = [(rest // np.uint64(buckets)) & np.uint64(0xFFFFFFFF), (rest // np.uint64(buckets) >> np.uint64(32)) & np.uint64(0xFF)]
+        # records of shared tokens ask for no reply; a zero mark in place of the one tells them apart
+        mark = (~shared)[once].astype(np.int64)
+        out = dealt((rest % np.uint64(buckets)).astype(np.int64), parts, _TOKEN_HASH, [doc[once], mark], buckets)
+        yield rows(out + known(_TOKEN_HASH, [doc[shared], np.ones(int(shared.sum()), np.int64)], buckets + (int(t[0] % np.uint64(buckets)) + k) % buckets))
+
+
+def _reply(group: pa.Table, buckets: int) -> pa.Table:
+    """(doc_id, hits): tokens that several documents have."""
+    low, high, doc, mark = unpack_all(group, _TOKEN_HASH, 2)
+    keep = mark == 1
+    if group.column("bucket")[0].as_py() < buckets:
+        order, begin, size = grouped(low | high << np.uint64(32))
+        several = of_several(order, begin, doc)
+        doc, mark = doc[order], mark[order]
+        keep = np.repeat(several | (np.minimum.reduceat(mark, begin) == 0), size) & (mark == 1)
+    found, hits = np.unique(doc[keep], return_counts=True)
+    return pa.table({"doc_id": pa.array(found, pa.int64()), "hits": pa.array(hits, pa.int64())})
+
+
+def _screen(docs: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id of documents whose extended prefix has enough tokens that others have too; equal sets count as others here."""
+    buckets = bucket_count(docs)
+    sent = docs.mapInArrow(lambda b: _send(b, shingle, percent, buckets), SCHEMA)
+    hits = sent.groupBy("bucket").applyInArrow(lambda g: _reply(g, buckets), "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
     e = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
     needed = F.least(F.greatest(F.lit(1), F.floor((e + 1) / 2)), F.col("n") - e)
-    return hits.where(F.col("hits") >= needed).select("doc_id")
+    return hits.join(sizes.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").where(F.col("hits") >= needed).select("doc_id")
 
 
 def _keys(batches: Iterator[pa.RecordBatch], percent: int, combine: int) -> Iterator[pa.RecordBatch]:
@@ -149,16 +191,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, combine: int = COMBINE) -> tuple[DataFrame, DataFrame]:
     """(classes, labels): doc_id, n_shingles and the representative of each row; id and component label of linked representatives."""
-    known = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = cut(known.mapInArrow(lambda x: _signed(x, shingle, percent, False), _SIGNED))
+    texts_of = docs.select("doc_id", "text").where("doc_id is not null")
+    signed = cut(texts_of.mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED).drop("tokens"))
     same = cut(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
-    classes = signed.select("doc_id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    firsts = same.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    prefixes = signed.join(firsts, ["doc_id", "s1", "s2"], "left_semi")
-    near = cut(_screen(prefixes, percent))
-    texts = join_small(known, near, "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda x: _signed(x, shingle, percent, True), _SIGNED)
-    sets = cut(join_small(sets, firsts.join(near, "doc_id", "left_semi"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "tokens"))
+    classes = signed.join(same, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    firsts = same.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")
+    near = cut(firsts.join(_screen(texts_of, firsts, shingle, percent), "doc_id", "left_semi"))
+    texts = join_small(texts_of, near.select("doc_id"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(lambda x: _signed(x, shingle, True), _SIGNED)
+    sets = cut(join_small(sets, near.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "tokens"))
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("t"))
     counts = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
@@ -192,7 +233,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id; one row per row of the input."""
     classes, labels = jaccard_links(docs, shingle, percent)
     found = classes.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(lambda x: _signed(x, shingle, percent, False), _SIGNED)
+    unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED)
     return found.unionByName(unnamed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
