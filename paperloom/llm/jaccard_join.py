@@ -16,7 +16,8 @@ similarity reaches PERCENT / 100. With ``e = n - ceil(PERCENT * n / 100)`` no mo
    end in it, and combinations of COMBINE neighbouring frequent tokens are indexed.
 4. Each index entry is verified against one leader of its posting list (the set with the fewest rare
    tokens), which links thousands of near copies without comparing all pairs; then only members
-   that still lie in different components are compared, after bounds on size and shared tokens.
+   that still lie in different components are compared, each pair once, at the first key that it
+   shares, and after bounds on size, on shared tokens, and on the difference that parity bits show.
 
 Verification counts the intersection of whole token sets. All steps are exact but for 64-bit hashes.
 
@@ -28,6 +29,7 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,21 +76,32 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+#: Words of 64 parity bits.
+PARITY = 8
+
+
+def _parity(t: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each of 64 * PARITY hash ranges are odd in number. Two sets differ in at least as many tokens as their parities do in bits."""
+    odd = np.bincount((t >> np.uint64(64 - 6 - PARITY.bit_length() + 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], shingle: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """doc_id, n, two hashes of the set, and its tokens if asked for."""
     for batch in batches:
-        found, n, s1, s2, tokens = [], [], [], [], []
+        found, n, s1, s2, tokens, parity = [], [], [], [], [], []
         for row, t in _sets(batch, shingle):
             found.append(row)
             n.append(len(t))
             s1.append(mixed(t).sum(dtype=np.uint64))
             s2.append(mixed(t ^ _SALT).sum(dtype=np.uint64))
             tokens.append(t if whole else t[:0])
+            parity.append(_parity(t) if whole else t[:0])
         sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found, pa.int64())), pa.array(n, pa.int32()), *sums, _arrays(tokens)], ["doc_id", "n", "s1", "s2", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found, pa.int64())), pa.array(n, pa.int32()), *sums, _arrays(tokens), _arrays(parity)], ["doc_id", "n", "s1", "s2", "tokens", "parity"])
 
 
-_SIGNED = "doc_id long, n int, s1 long, s2 long, tokens array<long>"
+_SIGNED = "doc_id long, n int, s1 long, s2 long, tokens array<long>, parity array<long>"
 
 
 _TOKEN_HASH = ("<u4", "<u1")  # 40 bits beside the bucket: enough to screen with
@@ -192,14 +205,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, combine: int = COMBINE) -> tuple[DataFrame, DataFrame]:
     """(classes, labels): doc_id, n_shingles and the representative of each row; id and component label of linked representatives."""
     texts_of = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = cut(texts_of.mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED).drop("tokens"))
+    signed = cut(texts_of.mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED).drop("tokens", "parity"))
     same = cut(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     classes = signed.join(same, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     firsts = same.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")
     near = cut(firsts.join(_screen(texts_of, firsts, shingle, percent), "doc_id", "left_semi"))
     texts = join_small(texts_of, near.select("doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(lambda x: _signed(x, shingle, True), _SIGNED)
-    sets = cut(join_small(sets, near.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "tokens"))
+    sets = cut(join_small(sets, near.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "tokens", "parity"))
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("t"))
     counts = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
@@ -218,10 +231,15 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
     placed = index.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", "n", "common", F.coalesce("label", "doc_id").alias("label"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_rows = cut(placed.join(open_keys, "key", "left_semi"))
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "common", "label")]) for k in "12")
+    per_doc = placed.join(open_keys, "key", "left_semi").groupBy("doc_id", "n", "common", "label").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    per_doc = per_doc.join(sets.select("doc_id", "parity"), "doc_id").dropDuplicates(["doc_id"])
+    open_rows = cut(per_doc.select("*", F.posexplode("keys").alias("pos", "key")).withColumn("earlier", F.slice("keys", F.lit(1), F.col("pos"))).drop("pos", "keys"))
+    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "common", "label", "parity", "earlier")]) for k in "12")
     may = _may_link(F.col("n1"), F.col("common1"), F.col("n2"), F.col("common2"), percent)
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("label1") < F.col("label2")) & may)
+    odd = reduce(lambda x, y: x + y, [F.bit_count(F.get("parity1", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(PARITY)])
+    near_enough = odd * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2"))
+    once = ~F.arrays_overlap("earlier1", "earlier2")  # a pair meets at the first key that both have
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("label1") < F.col("label2")) & may & near_enough & once)
     rest = rest.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
     more = cut(_verify(rest, sets, percent))
     if more.isEmpty():
