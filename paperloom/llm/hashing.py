@@ -21,7 +21,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are taken together up to this many bytes, so that the arrays of one step stay small.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
