@@ -64,9 +64,10 @@ def used_codes(token_table: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_id", "scope_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, 0)
     set_font = F.when((F.lead("op", 2).over(order) == "Tf") & (F.col("kind") == "name"), F.col("name"))
-    shown = F.first(F.when(F.col("kind") == "operator", F.col("op")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy("file_id", "scope_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.last(F.when(F.col("kind") == "operator", F.col("op")), ignorenulls=True).over(backwards)
     marked = token_table.withColumn("font", set_font).withColumn("font", F.last("font", ignorenulls=True).over(before)).withColumn("shown", shown)
     strings = marked.where((F.col("kind") == "string") & F.col("shown").isin("Tj", "TJ", "'", '"') & F.col("font").isNotNull())
-    digits = F.hex("str")
-    code = F.explode(F.transform(F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)), lambda k: F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int"))).alias("code")
-    return strings.where(F.length(digits) > 0).select("file_id", "scope_id", "font", code).distinct()
+    bytes_shown = F.array_distinct(F.regexp_extract_all(F.hex("str"), F.lit(".."), F.lit(0)))
+    codes = strings.select("file_id", "scope_id", "font", F.explode(bytes_shown).alias("digits")).distinct()
+    return codes.select("file_id", "scope_id", "font", F.conv("digits", 16, 10).cast("int").alias("code"))

@@ -367,3 +367,45 @@ SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 40), '&',
 def escaped_labels(spark, d):
     short = F.when(F.length("text") > 40, F.lit("…")).otherwise(F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.concat(T.escaped(F.substring("text", 1, 40)), short).alias("label"))
+
+
+def _as_files(spark, d):
+    """Every document as a one-page PDF file whose content stream is its text."""
+    from .session import cut
+    from .sinks.pdf import write_pdf
+    from .sources.pdf import Tables
+
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), "text")
+    shapes = ['{"Type":"/Catalog","Pages":{"r":[2,0]}}', '{"Type":"/Pages","Kids":[{"r":[3,0]}],"Count":1}', '{"Type":"/Page","Parent":{"r":[2,0]},"MediaBox":[0,0,612,792],"Contents":{"r":[4,0]}}', "{}"]
+    values = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("obj_num"), F.lit(s).alias("dict")) for k, s in enumerate(shapes)])).alias("o")
+    rows = docs.select("file_id", values, "text").select("file_id", "o.obj_num", F.lit(0).alias("gen_num"), "o.dict", F.when(F.col("o.obj_num") == 4, F.encode("text", "UTF-8")).alias("contents"))
+    objects = rows.withColumn("kind", F.when(F.col("contents").isNotNull(), "stream").otherwise("dict"))
+    roots = docs.select("file_id", F.lit("Root").alias("key"), F.lit(1).alias("dst_num"), F.lit(0).alias("dst_gen"))
+    return cut(write_pdf(Tables(objects, None, roots, None)))
+
+
+@query("""
+SELECT doc_id AS file_id, position, category, CASE category WHEN 'Page Content' THEN 1 WHEN 'Document Structure' THEN 3 ELSE 0 END::BIGINT AS n,
+       CASE category WHEN 'Page Content' THEN octet_length(encode(text)) ELSE 0 END::BIGINT AS total_size
+FROM documents, (VALUES """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LABELS)) + """) AS v(position, category) WHERE text IS NOT NULL""")
+def pdf_inspect(spark, d):
+    """Files written, parsed and classified."""
+    from .plans.inspect import category_totals, inspect_items
+    from .session import cut
+    from .sources.pdf import PARSED, _parsed, tables_of
+
+    t = tables_of(cut(_as_files(spark, d).mapInArrow(_parsed, PARSED)))
+    return category_totals(inspect_items(t)).select("file_id", "position", "category", "n", "total_size")
+
+
+@query("""
+SELECT DISTINCT doc_id AS file_id, 'F1' AS font, ord(c)::INT AS code
+FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^ -~]', '', 'g'), '')) AS c FROM documents) WHERE c <> ''""")
+def pdf_used_codes(spark, d):
+    """Codes that content streams show, by the font set before them."""
+    from .functions.tokens import tokenise, used_codes
+
+    shown = F.hex(F.regexp_replace("text", "[^ -~]", ""))
+    data = F.encode(F.concat(F.lit("BT /F1 12 Tf <"), shown, F.lit("> Tj ET")), "UTF-8")
+    streams = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.lit("page 1").alias("scope_id"), data.alias("data"))
+    return used_codes(tokenise(streams)).select("file_id", "font", "code")
