@@ -10,16 +10,24 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a task remembers; when they are reached it starts anew. Pieces that the library gets at once.
+#: Pieces that a worker remembers; beyond them, new ones are forgotten after each call. Pieces that the library gets at once.
 CACHE, AT_ONCE = 600_000, 4_000
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORDS = re.compile(r"[^ \n\t\r\x0b\x0c]+")
+_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+_WORDS = re.compile(r"[^ \n\t\r\x0b\x0c]+").findall
+#: Marks a piece that doesn't follow a blank.
+_AS_IT_IS = "\x00"
+#: White space to Python that the tokenizer doesn't take for such.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: White space other than blanks and line ends.
 _RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_TAIL = '.,;:!?%#&*$|"()'
+#: A run of Latin letters and a tail of punctuation.
+_RUN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?%#&*$|\"()]*)").fullmatch
 
 
 class _Codes(dict):
@@ -42,7 +50,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.drops_space = Tokenizer.from_file(path), end, drops_space
-        self.cut = (_WORDS if drops_space else _SPACED).findall
         # ids that end a word, or that begin with a blank: they part the runs of letters of one text
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
@@ -53,61 +60,94 @@ class Encoder:
         self.codes, self.runs, self.tails = _Codes(), {}, {"": ()}
         self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _written(self, piece: str) -> str:
+        """The text that a piece stands for: after a blank, unless blanks are dropped or it is marked."""
+        return piece if self.drops_space else piece[1:] if piece[:1] == _AS_IT_IS else " " + piece
+
+    def _pieces(self, text: str) -> list[str]:
+        if "<|" in text:
+            return [_AS_IT_IS + text] if not self.drops_space else [text]
+        if self.drops_space:
+            return _WORDS(text) if any(c in text for c in _SEPARATORS) else text.split()
+        if any(c in text for c in _RARE_SPACES):
+            return [_AS_IT_IS + text]
+        if "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _AS_IT_IS in text:
+            return [_AS_IT_IS + p for p in _SPACED(text)]
+        own = text.split(" ")  # every blank stands between two words
+        own[0] = _AS_IT_IS + own[0]
+        return own
+
     def _library(self, texts: list[str]) -> list[tuple[int, ...]]:
         return [tuple(x.ids) for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
 
     def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """Ids of runs of letters, each with a leading blank unless blanks are dropped."""
+        """Ids of runs of letters, each after a blank unless blanks are dropped."""
         out = []
         for k in range(0, len(runs), AT_ONCE):
             some = runs[k : k + AT_ONCE]
-            ids = self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast([("" if self.drops_space else " ") + " ".join(some)], add_special_tokens=False)[0].ids
             marks = np.flatnonzero(self.parts[ids])
             edges = [0, *(marks + 1)] if self.drops_space else [*marks, len(ids)]
-            out += [tuple(ids[i:j]) for i, j in zip(edges[:-1], edges[1:])] if len(edges) == len(some) + 1 else self._library(some)
+            out += [tuple(ids[i:j]) for i, j in zip(edges[:-1], edges[1:])] if len(edges) == len(some) + 1 else self._library([self._written(r) for r in some])
         return out
 
-    def _split(self, piece: str) -> tuple[str, str] | None:
-        """The run of letters and the tail of a piece of that form."""
-        run = piece.rstrip(_TAIL)
-        letters = run if self.drops_space else run[1:]
-        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and (self.drops_space or run[0] == " "):
-            return (run.lower() if self.drops_space else run), piece[len(run) :]
-        return None
-
     def _learn(self, pieces: list[str]) -> None:
-        split = [self._split(p) for p in pieces]
+        split = [m and m.groups() for m in map(_RUN, pieces)]
+        if self.drops_space:  # which also folds case
+            split = [s and (s[0].lower(), s[1]) for s in split]
         runs = list({s[0] for s in split if s} - self.runs.keys())
         self.runs.update(zip(runs, self._runs(runs)))
         tails = list({s[1] for s in split if s} - self.tails.keys())
         self.tails.update(zip(tails, self._library(tails)))
-        others = iter(self._library([p for p, s in zip(pieces, split) if not s]))
+        others = iter(self._library([self._written(p) for p, s in zip(pieces, split) if not s]))
         found = [self.runs[s[0]] + self.tails[s[1]] if s else next(others) for s in split]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))]
+        self.fresh_runs = runs
+
+    def _forget(self, pieces: list[str], base: int) -> None:
+        """Undo :meth:`_learn` of the pieces from ``base`` on."""
+        for p in pieces:
+            del self.codes[p]
+        for r in self.fresh_runs:
+            del self.runs[r]
+        self.first, self.size = self.first[:base], self.size[:base]
+        self.ids = self.ids[: int(self.first[-1] + self.size[-1]) if base else 0]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each; null texts are empty."""
-        if len(self.codes) > CACHE or len(self.ids) > 16 * CACHE:
-            self.reset()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                whole = "<|" in text or not self.drops_space and any(c in text for c in _RARE_SPACES)
-                own = [text] if whole else self.cut(text)
+                own = self._pieces(text)
                 pieces += own
                 counts[k] = len(own)
+        base = len(self.codes)
         code = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
+        new, self.codes.new = self.codes.new, []
+        if new:
+            self._learn(new)
         size = self.size[code]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(self.first[code] - (ends - size), size)] if total else np.zeros(0, np.uint32)
+        if new and (base + len(new) > CACHE or len(self.ids) > 16 * CACHE):
+            if 2 * len(new) > len(pieces):  # what is remembered doesn't help here
+                self.reset()
+            else:
+                self._forget(new, base)
         edges = np.r_[0, ends][np.cumsum(counts)]  # ids before the end of each text
         ids = np.insert(flat, edges, np.uint32(self.end)) if len(texts) else flat
         return ids.astype(np.uint32), np.diff(edges, prepend=0) + 1
+
+
+def encoder(path: str, drops_space: bool, end: int) -> Encoder:
+    """The encoder of this Python worker, which outlives tasks; kept where every task finds it, since functions travel by value."""
+    kept = sys.modules.setdefault("_paperloom_encoders", types.ModuleType("_paperloom_encoders")).__dict__
+    key = f"{path} {drops_space} {end}"
+    if key not in kept:
+        kept[key] = Encoder(path, drops_space, end)
+    return kept[key]

@@ -48,12 +48,12 @@ def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, end: int) -> Iterator[pa.RecordBatch]:
     """doc_id, ids (16 bits each where they fit), part, and the number of the document's first token in its part."""
-    encoder, part, at = Encoder(path, drops_space, end), TaskContext.get().partitionId(), 0
-    width = "<u2" if max(end, encoder.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
+    tokens, part, at = Encoder(path, drops_space, end), TaskContext.get().partitionId(), 0
+    width = "<u2" if max(end, tokens.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in steps(texts):
-            ids, size = encoder.encode(texts[i:j])
+            ids, size = tokens.encode(texts[i:j])
             ends = np.cumsum(size)
             data = pa.py_buffer(ids.astype(width).tobytes())
             offsets = pa.py_buffer(np.r_[0, ends * int(width[2])].astype(np.int32).tobytes())

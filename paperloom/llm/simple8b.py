@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, input_bytes, join_small, shared_dir
-from .encoding import Encoder
+from .encoding import encoder
 from .packing import steps, tokenizer_path
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
@@ -43,25 +43,33 @@ SLICE = 512 * BLOCK
 PARTITION_BYTES = 64 << 20
 MAGIC = b"S8BTOK01"
 
+_BITS = np.frexp(np.arange(1 << 17))[1].astype(np.uint8)  # length in bits of small values
+
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of an array of unsigned integers."""
+    small = len(ids) == 0 or int(ids.max()) < len(_BITS)
     ids = ids.astype(np.uint64)
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     bits = np.zeros(n + int(COUNTS[0]), np.uint8)
-    for b in range(64):  # length in bits of each value; stops at the longest
+    if small:
+        bits[:n] = _BITS[ids.astype(np.uint32)]
+    for b in range(0 if small else 64):  # length in bits of each value; stops at the longest
         more = ids >> np.uint64(b) != 0
         if not more.any():
             break
         bits[:n] += more
-    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n)).astype(np.int16)
     selector = np.full(n, ESCAPE, np.uint8)
     longest, done = bits[:n].copy(), 1  # longest value among the next `done`
     for s in range(len(COUNTS) - 1, -1, -1):
         while done < COUNTS[s]:
             np.maximum(longest, bits[done : done + n], out=longest)
             done += 1
-        selector[(longest <= 60 // COUNTS[s]) & (left >= COUNTS[s])] = s  # larger counts overwrite smaller
+        fits = longest <= 60 // COUNTS[s]
+        if not fits.any() and s < len(COUNTS) - 1:
+            break  # nor will more of them
+        np.copyto(selector, np.uint8(s), where=fits & (left >= COUNTS[s]))  # larger counts overwrite smaller
     takes = np.r_[COUNTS, 0, 1][selector]
     # blocks step side by side from word to word
     at, chosen, owner = np.arange(blocks) * BLOCK, [], []
@@ -160,7 +168,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, number = Encoder(path, False, end), TaskContext.get().partitionId(), 0
+    tokens, part, number = encoder(path, False, end), TaskContext.get().partitionId(), 0
     ids, sizes, docs, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -175,7 +183,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in steps(texts):
-            out, size = encoder.encode(texts[i:j])
+            out, size = tokens.encode(texts[i:j])
             ids.append(out)
             sizes.append(size)
             docs.append(batch.column("doc_id").slice(i, j - i))

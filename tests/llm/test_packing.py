@@ -52,3 +52,16 @@ def test_defined_results(spark):
     assert P.pack(empty(spark)).count() == 0
     row = P.op8(docs(spark, [(1, None)])).first()
     assert (row.start, row.length, row.doc_tokens, row.offset) == (0, 1, 1, 0) and row.ids_crc32 == zlib.crc32(np.array([P.END], "<u4").tobytes())
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    from paperloom.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE", 20)
+    whole, encoder = Tokenizer.from_file(P.tokenizer_path(P.TOKENIZER)), Encoder(P.tokenizer_path(P.TOKENIZER), True, 7)
+    for k in range(12):
+        texts = [f"same words again and again, with new{chr(97 + k)} {chr(98 + k) * 3}!! " * 3] + TRICKY[k : k + 2]
+        ids, size = encoder.encode(texts)
+        at = np.r_[0, np.cumsum(size)]
+        assert [ids[at[j] : at[j + 1]].tolist() for j in range(len(texts))] == [whole.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
+    assert len(encoder.codes) <= 60 and len(encoder.size) == len(encoder.codes)
