@@ -257,9 +257,9 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest id of each component, with their own columns; rows without an id stay."""
-    gone = linked(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = cut(linked(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct())
     keyed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return keyed.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select("row.*")
+    return join_small(keyed, gone, "doc_id", "left_anti").select("row.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_small
 from .hashing import chunks, sequences, word_hashes
 from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
@@ -187,11 +188,15 @@ def _kept(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Documents with their own columns; a text that loses words keeps the others, joined by one space, and one that loses all is empty."""
+    found = cut(repeated_windows(docs))
+    ids = found.select(F.col("of").alias("doc_id"))
     keyed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    both = keyed.join(repeated_windows(docs), F.col("doc_id") == F.col("of"), "left").select("text", "row", "starts")
-    kind = both.schema["row"].dataType.simpleString()
-    done = both.mapInArrow(lambda batches: _kept(batches, True), f"row {kind}, kept string, n_words long, n_removed long")
-    return done.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    kind = keyed.schema["row"].dataType.simpleString()
+    # only texts that lose words meet their windows
+    losing = join_small(keyed, ids, "doc_id", "left_semi").join(found, F.col("doc_id") == F.col("of")).select("text", "row", "starts")
+    left = losing.mapInArrow(lambda batches: _kept(batches, True), f"row {kind}, kept string, n_words long, n_removed long").select("row", F.col("kept").alias("text"))
+    rest = join_small(keyed, ids, "doc_id", "left_anti").select("row", "text")
+    return rest.unionByName(left).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
