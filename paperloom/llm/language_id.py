@@ -192,7 +192,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             rate.append(each)
         if best:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))], ["row", "lang_pred", "score", "bits_per_byte"]
+                [batch.column("row"), batch.column("text"), names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))], ["row", "text", "lang_pred", "score", "bits_per_byte"]
             )
 
 
@@ -218,15 +218,16 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, lang_pred, score, bits_per_byte): the prediction of every row, from its text alone."""
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(row, text, lang_pred, score, bits_per_byte): the prediction of every row, from its text alone; ``row`` has the other columns."""
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _predict(b, model), f"row {kind}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(lambda b: _predict(b, model), f"row {kind}, text string, lang_pred string, score double, bits_per_byte double")
 
 
 def of_known_language(docs: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """The documents with their own columns, without those of no language that the model knows."""
-    return identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits)).select("row.*")
+    kept = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:
