@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence, with its ids."""
-    return packing.pack(docs)
+    """One row per piece of a document in a sequence, with its ids. Python workers outlive the stage, so it remembers little."""
+    return packing.pack(docs, cache=100_000)
 
 
 STAGES = [("language ID", known_language), ("n-gram Jaccard join", one_of_each_group), ("substring dedup", without_repeats), ("mixing", mixed), ("packing", packed)]

@@ -45,11 +45,11 @@ class _Codes(dict):
 class Encoder:
     """Encodes lists of texts to one array of ids and the number of ids of each text."""
 
-    def __init__(self, path: str, drops_space: bool, end: int):
+    def __init__(self, path: str, drops_space: bool, end: int, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.drops_space = Tokenizer.from_file(path), end, drops_space
+        self.tokenizer, self.end, self.drops_space, self.cache = Tokenizer.from_file(path), end, drops_space, cache or CACHE
         # ids that end a word, or that begin with a blank: they part the runs of letters of one text
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
@@ -134,7 +134,7 @@ class Encoder:
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(self.first[code] - (ends - size), size)] if total else np.zeros(0, np.uint32)
-        if new and (base + len(new) > CACHE or len(self.ids) > 16 * CACHE):
+        if new and (base + len(new) > self.cache or len(self.ids) > 16 * self.cache):
             if 2 * len(new) > len(pieces):  # what is remembered doesn't help here
                 self.reset()
             else:

@@ -46,9 +46,9 @@ def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, end: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, end: int, cache: int | None) -> Iterator[pa.RecordBatch]:
     """doc_id, ids (16 bits each where they fit), part, and the number of the document's first token in its part."""
-    tokens, part, at = Encoder(path, drops_space, end), TaskContext.get().partitionId(), 0
+    tokens, part, at = Encoder(path, drops_space, end, cache), TaskContext.get().partitionId(), 0
     width = "<u2" if max(end, tokens.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -63,10 +63,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, en
             at += int(ends[-1])
 
 
-def encoded(docs: DataFrame, path: str, drops_space: bool, end: int) -> DataFrame:
+def encoded(docs: DataFrame, path: str, drops_space: bool, end: int, cache: int | None = None) -> DataFrame:
     """First pass, written once: doc_id, ids, n, part, at."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, path, drops_space, end), f"doc_id {kind}, ids binary, n long, part long, at long"))
+    return cut(docs.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, path, drops_space, end, cache), f"doc_id {kind}, ids binary, n long, part long, at long"))
 
 
 def part_bases(parts: DataFrame) -> DataFrame:
@@ -92,12 +92,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, whole: bool) -> Iter
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids" if whole else "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, length: int = LENGTH, drops_space: bool = True, whole: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, length: int = LENGTH, drops_space: bool = True, whole: bool = True, cache: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (or their crc32), doc_tokens, sequence_id, offset.
 
-    ``ids`` are little-endian unsigned 32-bit integers.
+    ``ids`` are little-endian unsigned 32-bit integers. ``cache`` bounds the pieces of text that a task
+    remembers, and so its memory; results are the same.
     """
-    parts = encoded(docs, tokenizer or tokenizer_path(TOKENIZER), drops_space, end)
+    parts = encoded(docs, tokenizer or tokenizer_path(TOKENIZER), drops_space, end, cache)
     placed = join_small(parts, cut(part_bases(parts)), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("at")).alias("first"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     value = "ids binary" if whole else "ids_crc32 long"
