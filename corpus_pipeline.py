@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from paperloom.llm import jaccard_join, language_id, mixing, packing, substring_dedup
 from paperloom.llm.common import cut, table
 
+#: Near-duplicates of the stage: word shingles of this length, and this similarity in percent. The query op6 has its own.
+SHINGLE, PERCENT = 5, 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; the others go."""
@@ -20,7 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

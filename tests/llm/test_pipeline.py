@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline as C
-from helpers import awkward, empty
+from helpers import awkward, docs, empty
 
 
 def run(spark, frame):
@@ -30,3 +32,34 @@ def test_awkward_and_empty_tables(spark):
     for frame in (awkward(spark), empty(spark)):
         for _, _, after in run(spark, frame)[:-1]:
             assert after.columns == frame.columns
+
+
+def survivors(texts):
+    """Smallest id of each component of pairs at 5-word shingles and 0.8, by brute force."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in ((d, t.split()) for d, t in texts)}
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    return set(label.values())
+
+
+def test_near_duplicates_go_at_five_words_and_four_fifths(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(rng.choice([4, 30, 100, 100, 200]))]
+        for changes in (0, 1, 2, 3, 5, 9):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), min(changes, len(copy))):
+                copy[at] = f"new{len(rows)}x{at}"
+            rows.append((len(rows) + 1, " ".join(copy)))
+    # two isolated changes in 100 words: 86 of 106 five-word shingles, 89 of 105 four-word shingles
+    words = [f"u{j}" for j in range(100)]
+    rows += [(1001, " ".join(words)), (1002, " ".join("new" + w if w in ("u30", "u60") else w for w in words))]
+    left = {r.doc_id for r in C.one_of_each_group(spark, docs(spark, rows), None).collect()}
+    assert 1001 in left and 1002 not in left
+    assert left == survivors(rows)
