@@ -21,7 +21,12 @@ from .common import cut
 
 #: Fixed values: (verdict, host and path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Rounds of the oracle, and of ``spread`` unless told otherwise; the query iterates until scores settle.
 ROUNDS, DAMPING = 8, 0.85
+#: Scores have settled when none has grown by more than this part of itself over EVERY rounds; a host just reached has grown by all of its score.
+TOLERANCE, EVERY = 1e-9, 4
+#: Least score of a reached host: shares multiplied along many links must not become zero.
+LEAST = 1e-300
 #: A host is blocked if its distrust is over RATIO times its trust.
 RATIO = 1.0
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
@@ -63,23 +68,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: seeds (host, mass) to (host, score) after a fixed number of rounds over edges (src, dst, links)."""
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank: seeds (host, mass) to (host, score) after ``rounds`` rounds over edges (src, dst, links), or when scores have settled if that is None."""
     out = edges.groupBy("src").agg(F.sum("links").alias("out"))
     flow = cut(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("out")).alias("share")))
     start = seeds.select("host", ((1 - damping) * F.col("mass")).alias("score"))
-    score = start
+    score = last = start
     if flow.isEmpty():  # nothing flows, in any round
         return start
-    for k in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
         moved = flow.join(score, flow["src"] == score["host"]).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        score = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
+        score = start.unionByName(moved).groupBy("host").agg(F.greatest(F.sum("score"), F.lit(LEAST)).alias("score"))
+        done += 1
+        if done % EVERY == 0:
             score = cut(score)
+            if rounds is None:
+                both = score.join(last.select("host", F.col("score").alias("before")), "host", "left")
+                grown = both.agg(F.max(1 - F.coalesce("before", F.lit(0.0)) / F.col("score"))).first()[0]
+                if grown is None or grown <= tolerance:
+                    return score
+                last = score
     return score
 
 
-def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """host, trust, distrust of hosts that have any of either."""
     votes = F.coalesce(F.sum((F.col("ruled") == "allow").cast("int") - (F.col("ruled") == "block").cast("int")), F.lit(0))
     seeds = cut(located(pages, rules).where(F.col("ruled").isNotNull()).groupBy("host").agg(votes.cast("double").alias("votes")))
@@ -93,7 +106,7 @@ def host_scores(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: fl
     return trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int | None = None, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     bad = host_scores(pages, rules, rounds, damping).where(F.col("distrust") > ratio * F.col("trust")).select("host", F.lit(True).alias("bad"))
     method = F.when(F.col("bad"), "block").otherwise("allow")
     return located(pages, rules).join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))

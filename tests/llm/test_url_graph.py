@@ -1,3 +1,5 @@
+import numpy as np
+
 from paperloom.llm import url_graph as U
 
 
@@ -50,3 +52,24 @@ def test_distrust_flows_against_links(spark):
 def test_empty_and_repeated(spark):
     assert judged(spark, [(1, "http://x.net/", ""), (1, "http://x.net/", "")]) == {1: ("x.net", "/", None, "allow")}
     assert U.op2(pages(spark, [(1, "x", "y", "", "")]).where("false")).count() == 0
+
+
+def to(*hosts):
+    return "".join(f'<a href="http://{h}/de/1">x</a>' for h in hosts)
+
+
+def test_distrust_reaches_every_host_of_a_chain(spark):
+    rows = [(0, "http://bad.com/de/1", "")] + [(k, f"http://h{k}.net/en/1", to(f"h{k - 1}.net" if k > 1 else "bad.com")) for k in range(1, 15)]
+    assert {k: v[3] for k, v in judged(spark, rows).items()} == {k: "block" for k in range(15)}
+
+
+def test_settled_scores_equal_the_exact_solution(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3)] + [(f"e{k}", f"e{k + 1}", 1) for k in range(11)] + [("c", "e0", 1)]
+    seeds, hosts = {"a": 0.75, "d": 0.25}, sorted({h for s, t, _ in edges for h in (s, t)})
+    flow = np.zeros((len(hosts), len(hosts)))
+    for s, t, n in edges:
+        flow[hosts.index(t), hosts.index(s)] = n / sum(m for x, _, m in edges if x == s)
+    exact = np.linalg.solve(np.eye(len(hosts)) - 0.85 * flow, [0.15 * seeds.get(h, 0.0) for h in hosts])
+    got = U.spread(spark.createDataFrame(list(seeds.items()), "host string, mass double"), spark.createDataFrame(edges, "src string, dst string, links long"), rounds=None).collect()
+    assert len(got) == len(hosts)
+    assert all(abs(r.score / exact[hosts.index(r.host)] - 1) < 1e-7 for r in got)
