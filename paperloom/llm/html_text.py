@@ -25,7 +25,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li "
     "main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-HIDDEN = frozenset("script style noscript template iframe object svg math head title select textarea button audio video canvas".split())
+HIDDEN = frozenset("script style noscript template iframe svg head title select textarea button audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the same group closes.
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
@@ -41,6 +41,8 @@ _INNER = FURNITURE - {"header", "toolbar", "widget"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -111,6 +113,19 @@ def _furniture(attributes: str, names: frozenset) -> bool:
     return False
 
 
+def _hides(attributes: str) -> bool:
+    """Whether an attribute of its own hides the element: hidden, aria-hidden="true", or display: none in style."""
+    if not _HIDE.search(attributes):  # no such word anywhere
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and [x.lower() for x in _DISPLAY.findall(unescape(value))][-1:] == ["none"]:
+            return True
+    return False
+
+
 def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
     """(text, words, words in links, marks) of each flat text block; marks are in region, furniture name, in main, heading."""
     out: list = []
@@ -175,7 +190,7 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
             if m[3] and not furniture and tag not in ("html", "body"):
                 furniture = _furniture(m[3], COMMENTS if tag in ("article", "main") else _INNER if main else FURNITURE)
             main = main or tag in ("article", "main")
-            hidden = hidden or tag in HIDDEN or bool(m[3]) and bool(_HIDE.search(m[3]))
+            hidden = hidden or tag in HIDDEN or bool(m[3]) and _hides(m[3])
         stack.append((tag, region, furniture, main, hidden))
         heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
     flush()

@@ -25,6 +25,20 @@ def test_main_text(html, text):
     assert H.main_text(html, TREE) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article style='overflow:hidden'><p>{LONG}</p></article>", LONG),
+        (f"<article><div class='overflow-hidden'><p>{LONG}</p></div><p class=hidden-print>end</p></article>", f"{LONG}\nend"),
+        ("<article><p title='the hidden part'>a<p title='display:none'>b<p data-hidden>c<p aria-hidden=false>d<p style='visibility:hidden;--display:none'>e</article>", "a\nb\nc\nd\ne"),
+        ("<article><p title='aria-hidden=true'>a<p data-x='y'hidden>b<p HIDDEN=''>c<p aria-hidden='true'>d<p style='color:red; DISPLAY : none !important'>e<p class=x hidden>f<p>g</article>", "a\ng"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><object data=a.pdf><p>Read the file</p></object><p>end</article>", "let x=1 be\nRead the file\nend"),
+    ],
+)
+def test_only_hidden_elements_are_hidden(html, text):
+    assert H.main_text(html, TREE) == text
+
+
 def test_query_on_pages(spark, sf_dir):
     import re
     from html import unescape
