@@ -332,6 +332,14 @@ def used_codes(spark, d):
     return chars.select("lang", F.ascii("c").alias("code")).distinct()
 
 
+@query("""
+SELECT DISTINCT lang, ('0x' || h)::INT AS code FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)""")
+def used_codes_bytes(spark, d):
+    """Every byte code of whole texts, as fonts of one-byte codes show them."""
+    docs = table(spark, d, "documents").select("lang", F.array_distinct(F.regexp_extract_all(F.hex("text"), F.lit(".."), F.lit(0))).alias("digits"))
+    return docs.select("lang", F.explode("digits").alias("h")).distinct().select("lang", F.conv("h", 16, 10).cast("int").alias("code"))
+
+
 @query("SELECT n_nationkey, hex(encode(n_name)) AS hexed, n_name AS decoded FROM nation")
 def codec_hex(spark, d):
     from .functions.codecs import ascii_hex_column
@@ -398,14 +406,25 @@ def pdf_inspect(spark, d):
     return category_totals(inspect_items(t)).select("file_id", "position", "category", "n", "total_size")
 
 
+def _shown_codes(spark, d, text):
+    """Codes of content streams that show the bytes of ``text``."""
+    from .functions.tokens import tokenise, used_codes
+
+    data = F.encode(F.concat(F.lit("BT /F1 12 Tf <"), F.hex(text), F.lit("> Tj ET")), "UTF-8")
+    streams = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.lit("page 1").alias("scope_id"), data.alias("data"))
+    return used_codes(tokenise(streams)).select("file_id", "font", "code")
+
+
 @query("""
 SELECT DISTINCT doc_id AS file_id, 'F1' AS font, ord(c)::INT AS code
 FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^ -~]', '', 'g'), '')) AS c FROM documents) WHERE c <> ''""")
 def pdf_used_codes(spark, d):
     """Codes that content streams show, by the font set before them."""
-    from .functions.tokens import tokenise, used_codes
+    return _shown_codes(spark, d, F.regexp_replace("text", "[^ -~]", ""))
 
-    shown = F.hex(F.regexp_replace("text", "[^ -~]", ""))
-    data = F.encode(F.concat(F.lit("BT /F1 12 Tf <"), shown, F.lit("> Tj ET")), "UTF-8")
-    streams = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), F.lit("page 1").alias("scope_id"), data.alias("data"))
-    return used_codes(tokenise(streams)).select("file_id", "font", "code")
+
+@query("""
+SELECT DISTINCT doc_id AS file_id, 'F1' AS font, ('0x' || h)::INT AS code FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)""")
+def pdf_used_codes_bytes(spark, d):
+    """The same of whole texts, every byte of them."""
+    return _shown_codes(spark, d, F.col("text"))

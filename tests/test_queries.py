@@ -34,3 +34,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_byte_codes_are_those_of_whole_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "lang", "text").collect()
+    by_lang = {(r.lang, b) for r in docs for b in r.text.encode()}
+    assert 10 in {b for _, b in by_lang} and max(b for _, b in by_lang) > 127
+    assert {(r.lang, r.code) for r in QUERIES["used_codes_bytes"](spark, sf_dir).collect()} == by_lang
+    assert {(r.file_id, r.code) for r in QUERIES["pdf_used_codes_bytes"](spark, sf_dir).collect()} == {(r.doc_id, b) for r in docs for b in r.text.encode()}
