@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import audit, classify, dedup, diff, graph, sequences
+from .session import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,10 +29,6 @@ def query(sql: str | None):
     return register
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def text_bytes():
     return F.octet_length("text")
 
