@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir, table  # noqa: F401  for the operators
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -15,27 +19,23 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 200_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def words(text: Column) -> Column:
     """Array of the words of ``text``; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-"))
-    return context.getCheckpointDir()
+def released(batches: Iterator) -> Iterator:
+    """The batches; then what the task leaves behind goes back to the system, since Python workers outlive tasks and stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder; later jobs read it from there, whichever executors are left."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, leaving no memory behind."""
+    return df.mapInArrow(lambda batches: released(f(batches)), schema)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,153 +1,148 @@
-"""Token ids of whole texts by the tokenizers library, which sees each distinct piece of text once.
+"""Token ids of whole texts by the tokenizers library, which sees each distinct piece of a step once.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts: before each run of blanks or
 line ends, and between a run of Latin letters and the punctuation that ends a word. So the ids are
-those of the whole text. New runs of letters go to the library many at a time, as one text. Texts with
-anything that makes the cuts unsure (rare white space, a special token's string) go to it whole.
+those of the whole text. Distinct runs of letters go to the library many at a time, as one text. Texts
+with anything that makes the cuts unsure (rare white space, a special token's string) go to it whole.
+Cutting, finding distinct pieces and putting ids together are Arrow and numpy calls over a step of
+texts. From step to step only runs are remembered, and no more than REMEMBERED of them, so memory
+doesn't follow the data.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import sys
-import types
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; beyond them, new ones are forgotten after each call. Pieces that the library gets at once.
-CACHE, AT_ONCE = 600_000, 4_000
-_SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-_WORDS = re.compile(r"[^ \n\t\r\x0b\x0c]+").findall
-#: Marks a piece that doesn't follow a blank.
-_AS_IT_IS = "\x00"
-#: White space to Python that the tokenizer doesn't take for such.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: White space other than blanks and line ends.
-_RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of Latin letters and a tail of punctuation.
-_RUN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?%#&*$|\"()]*)").fullmatch
+from .hashing import chunks
 
+#: Bytes of texts that are encoded together; pieces that the library gets at once; runs after which all are forgotten.
+STEP, AT_ONCE, REMEMBERED = 8 << 20, 4_000, 400_000
+#: Texts that go to the library whole: rare white space, and what looks like a special token.
+_WHOLE = r"<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Punctuation that may end a word.
+_TAIL = ".,;:!?%#&*$|\"()"
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
 
-class _Codes(dict):
-    """Numbers its keys as they are first asked for, and lists new ones."""
 
-    def __init__(self):
-        self.new: list[str] = []
+def _strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
-    def __missing__(self, key: str) -> int:
-        code = self[key] = len(self)
-        self.new.append(key)
-        return code
+
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``first``, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(first - (ends - size), size)] if total else values[:0]
 
 
 class Encoder:
-    """Encodes lists of texts to one array of ids and the number of ids of each text."""
+    """Encodes arrays of texts to one array of ids and the number of ids of each text."""
 
-    def __init__(self, path: str, drops_space: bool, end: int, cache: int | None = None):
+    def __init__(self, path: str, drops_space: bool, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.drops_space, self.cache = Tokenizer.from_file(path), end, drops_space, cache or CACHE
+        self.tokenizer, self.end, self.drops_space = Tokenizer.from_file(path), end, drops_space
+        self.normalizer = self.tokenizer.normalizer
         # ids that end a word, or that begin with a blank: they part the runs of letters of one text
-        size = self.tokenizer.get_vocab_size()
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.parts = np.array([x.endswith("</w>") if drops_space else x.startswith("\u0120") for x in names])
-        self.reset()
-
-    def reset(self) -> None:
-        self.codes, self.runs, self.tails = _Codes(), {}, {"": ()}
-        self.size, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _written(self, piece: str) -> str:
-        """The text that a piece stands for: after a blank, unless blanks are dropped or it is marked."""
-        return piece if self.drops_space else piece[1:] if piece[:1] == _AS_IT_IS else " " + piece
-
-    def _pieces(self, text: str) -> list[str]:
-        if "<|" in text:
-            return [_AS_IT_IS + text] if not self.drops_space else [text]
-        if self.drops_space:
-            return _WORDS(text) if any(c in text for c in _SEPARATORS) else text.split()
-        if any(c in text for c in _RARE_SPACES):
-            return [_AS_IT_IS + text]
-        if "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or _AS_IT_IS in text:
-            return [_AS_IT_IS + p for p in _SPACED(text)]
-        own = text.split(" ")  # every blank stands between two words
-        own[0] = _AS_IT_IS + own[0]
-        return own
-
-    def _library(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(x.ids) for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """Ids of runs of letters, each after a blank unless blanks are dropped."""
-        out = []
-        for k in range(0, len(runs), AT_ONCE):
-            some = runs[k : k + AT_ONCE]
-            ids = self.tokenizer.encode_batch_fast([("" if self.drops_space else " ") + " ".join(some)], add_special_tokens=False)[0].ids
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.parts = np.array([x.endswith("</w>") if drops_space else x.startswith("Ġ") for x in names])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.run_ids, self.run_size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text) of texts that the library gets one by one."""
+        found = self._library(texts)
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _runs(self, runs: list[str]) -> np.ndarray:
+        """Numbers of distinct runs of letters, each after a blank unless blanks are dropped; new ones go to the library."""
+        if len(self.codes) > REMEMBERED:
+            self._forget()
+        new = [r for r in runs if r not in self.codes]
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+        flat, sizes = [self.run_ids], [self.run_size]
+        self.tokenizer.normalizer = None  # runs are lower case already where it would make them so, and nothing else in them changes
+        for k in range(0, len(new), AT_ONCE):
+            some = new[k : k + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(self.parts[ids])
-            edges = [0, *(marks + 1)] if self.drops_space else [*marks, len(ids)]
-            out += [tuple(ids[i:j]) for i, j in zip(edges[:-1], edges[1:])] if len(edges) == len(some) + 1 else self._library([self._written(r) for r in some])
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        split = [m and m.groups() for m in map(_RUN, pieces)]
-        if self.drops_space:  # which also folds case
-            split = [s and (s[0].lower(), s[1]) for s in split]
-        runs = list({s[0] for s in split if s} - self.runs.keys())
-        self.runs.update(zip(runs, self._runs(runs)))
-        tails = list({s[1] for s in split if s} - self.tails.keys())
-        self.tails.update(zip(tails, self._library(tails)))
-        others = iter(self._library([self._written(p) for p, s in zip(pieces, split) if not s]))
-        found = [self.runs[s[0]] + self.tails[s[1]] if s else next(others) for s in split]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
-        self.size = np.r_[self.size, size]
-        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))]
-        self.fresh_runs = runs
-
-    def _forget(self, pieces: list[str], base: int) -> None:
-        """Undo :meth:`_learn` of the pieces from ``base`` on."""
-        for p in pieces:
-            del self.codes[p]
-        for r in self.fresh_runs:
-            del self.runs[r]
-        self.first, self.size = self.first[:base], self.size[:base]
-        self.ids = self.ids[: int(self.first[-1] + self.size[-1]) if base else 0]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, the end id after each; null texts are empty."""
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                own = self._pieces(text)
-                pieces += own
-                counts[k] = len(own)
-        base = len(self.codes)
-        code = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-        new, self.codes.new = self.codes.new, []
-        if new:
-            self._learn(new)
-        size = self.size[code]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(total) + np.repeat(self.first[code] - (ends - size), size)] if total else np.zeros(0, np.uint32)
-        if new and (base + len(new) > self.cache or len(self.ids) > 16 * self.cache):
-            if 2 * len(new) > len(pieces):  # what is remembered doesn't help here
-                self.reset()
-            else:
-                self._forget(new, base)
-        edges = np.r_[0, ends][np.cumsum(counts)]  # ids before the end of each text
-        ids = np.insert(flat, edges, np.uint32(self.end)) if len(texts) else flat
-        return ids.astype(np.uint32), np.diff(edges, prepend=0) + 1
-
-
-def encoder(path: str, drops_space: bool, end: int) -> Encoder:
-    """The encoder of this Python worker, which outlives tasks; kept where every task finds it, since functions travel by value."""
-    kept = sys.modules.setdefault("_paperloom_encoders", types.ModuleType("_paperloom_encoders")).__dict__
-    key = f"{path} {drops_space} {end}"
-    if key not in kept:
-        kept[key] = Encoder(path, drops_space, end)
-    return kept[key]
+            edges = np.r_[0, marks + 1] if self.drops_space else np.r_[marks, len(ids)]
+            ids, size = (ids, np.diff(edges)) if len(edges) == len(some) + 1 else self._each(some)
+            flat.append(ids)
+            sizes.append(size)
+        self.tokenizer.normalizer = self.normalizer
+        self.run_ids, self.run_size = np.concatenate(flat), np.concatenate(sizes)
+        return np.fromiter(map(self.codes.__getitem__, runs), np.int64, len(runs))
+
+    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each distinct piece begin, how many it has)."""
+        bare = pc.ascii_ltrim(pieces, characters=" \n") if self.drops_space else pieces
+        run = pc.ascii_rtrim(bare, characters=_TAIL)
+        split = pc.match_substring_regex(run, f"^{'' if self.drops_space else ' '}{_LETTERS}$").to_numpy(zero_copy_only=False)
+        mine = pa.array(split)
+        run, bare = run.filter(mine), bare.filter(mine)
+        tail = _after(bare, pc.binary_length(run).to_numpy()).dictionary_encode()
+        runs = (pc.utf8_lower(run) if self.drops_space else run).dictionary_encode()
+        run_code = self._runs(runs.dictionary.to_pylist())
+        tail_ids, tail_size = self._each(tail.dictionary.to_pylist())
+        other_ids, other_size = self._each(pieces.filter(pa.array(~split)).to_pylist())
+        # ids of the split pieces, run and tail in turn, then those of the others
+        ids, size = np.concatenate([self.run_ids, tail_ids]), np.concatenate([self.run_size, tail_size])
+        code = np.stack([run_code[runs.indices.to_numpy()], tail.indices.to_numpy() + len(self.run_size)], axis=1).ravel()
+        first = np.cumsum(size) - size
+        joined = _gather(ids, first[code], size[code])
+        out = np.zeros(len(pieces), np.int64)
+        out[split] = size[code].reshape(-1, 2).sum(axis=1)
+        out[~split] = other_size
+        begin = np.zeros(len(pieces), np.int64)
+        begin[split] = np.cumsum(out[split]) - out[split]
+        begin[~split] = len(joined) + np.cumsum(other_size) - other_size
+        return np.concatenate([joined, other_ids]), begin, out
+
+    def _step(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of one step, the end id after each."""
+        rows = len(offsets) - 1
+        blank = (data == 0x20) | (data == 0x0A)
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        texts = _strings(offsets, data)
+        whole = pc.match_substring(texts, "<|") if self.drops_space else pc.match_substring_regex(texts, _WHOLE)
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            cut[offsets[k] : offsets[k + 1]] = False
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        cut[offsets[filled]] = True
+        at = np.flatnonzero(cut)
+        pieces = _strings(np.r_[at, len(data)], data).dictionary_encode()
+        ids, first, size = self._known(pieces.dictionary) if len(at) else (np.zeros(0, np.uint32), *[np.zeros(0, np.int64)] * 2)
+        # one more piece after each text: the end id
+        count = np.diff(np.searchsorted(at, offsets))
+        code = np.full(len(at) + rows, len(size), np.int64)
+        code[np.arange(len(at)) + np.repeat(np.arange(rows), count)] = pieces.indices.to_numpy()
+        ids, first, size = np.r_[ids, np.uint32(self.end)], np.r_[first, len(ids)], np.r_[size, 1]
+        each = size[code]
+        ends = np.r_[0, np.cumsum(each)][np.cumsum(count + 1)]
+        return _gather(ids, first[code], each).astype(np.uint32), np.diff(ends, prepend=0)
+
+    def encode(self, texts: pa.Array, step: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids, how many of each row) of each step; null texts are empty."""
+        for first, last, data, offsets in chunks(texts, step or STEP):
+            yield first, last, *self._step(data, offsets)
+
+
+def _after(texts: pa.Array, at: np.ndarray) -> pa.Array:
+    """What follows the first ``at`` bytes of each text."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, rest = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.diff(ends) - at
+    return _strings(np.r_[0, np.cumsum(rest)], _gather(data, ends[:-1] + at, rest))

@@ -30,7 +30,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, their bytes, their byte offsets from 0); null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -41,7 +41,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        last = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         yield row, last, data[ends[row] : ends[last]], ends[row : last + 1] - ends[row]
         row = last
 

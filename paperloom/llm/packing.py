@@ -20,12 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, join_small, map_arrow
 from .encoding import Encoder
 
 TOKENIZER, END, LENGTH = "word_bpe_49k.json", 2, 4096
-#: Texts that are encoded together, in characters.
-STEP = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,39 +32,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about STEP characters each."""
-    first = chars = 0
-    for k, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= STEP:
-            yield first, k + 1
-            first, chars = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, end: int, cache: int | None) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, drops_space: bool, end: int) -> Iterator[pa.RecordBatch]:
     """doc_id, ids (16 bits each where they fit), part, and the number of the document's first token in its part."""
-    tokens, part, at = Encoder(path, drops_space, end, cache), TaskContext.get().partitionId(), 0
+    tokens, part, at = Encoder(path, drops_space, end), TaskContext.get().partitionId(), 0
     width = "<u2" if max(end, tokens.tokenizer.get_vocab_size()) < 1 << 16 else "<u4"
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in steps(texts):
-            ids, size = tokens.encode(texts[i:j])
+        for i, j, ids, size in tokens.encode(batch.column("text")):
             ends = np.cumsum(size)
-            data = pa.py_buffer(ids.astype(width).tobytes())
-            offsets = pa.py_buffer(np.r_[0, ends * int(width[2])].astype(np.int32).tobytes())
+            data = pa.py_buffer(ids.astype(width))
+            offsets = pa.py_buffer(np.r_[0, ends * int(width[2])].astype(np.int32))
             packed = pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, data])
             start = pa.array(at + ends - size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), packed, pa.array(size), pa.array(np.full(j - i, part, np.int64)), start], ["doc_id", "ids", "n", "part", "at"])
             at += int(ends[-1])
 
 
-def encoded(docs: DataFrame, path: str, drops_space: bool, end: int, cache: int | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, drops_space: bool, end: int) -> DataFrame:
     """First pass, written once: doc_id, ids, n, part, at."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", "text").mapInArrow(lambda b: _encoded(b, path, drops_space, end, cache), f"doc_id {kind}, ids binary, n long, part long, at long"))
+    return cut(map_arrow(docs.select("doc_id", "text"), lambda b: _encoded(b, path, drops_space, end), f"doc_id {kind}, ids binary, n long, part long, at long"))
 
 
 def part_bases(parts: DataFrame) -> DataFrame:
@@ -92,17 +76,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, whole: bool) -> Iter
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids" if whole else "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, length: int = LENGTH, drops_space: bool = True, whole: bool = True, cache: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, length: int = LENGTH, drops_space: bool = True, whole: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (or their crc32), doc_tokens, sequence_id, offset.
 
-    ``ids`` are little-endian unsigned 32-bit integers. ``cache`` bounds the pieces of text that a task
-    remembers, and so its memory; results are the same.
+    ``ids`` are little-endian unsigned 32-bit integers.
     """
-    parts = encoded(docs, tokenizer or tokenizer_path(TOKENIZER), drops_space, end, cache)
+    parts = encoded(docs, tokenizer or tokenizer_path(TOKENIZER), drops_space, end)
     placed = join_small(parts, cut(part_bases(parts)), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("at")).alias("first"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     value = "ids binary" if whole else "ids_crc32 long"
-    return placed.mapInArrow(lambda b: _pieces(b, length, whole), f"doc_id {kind}, start long, length long, {value}, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(placed, lambda b: _pieces(b, length, whole), f"doc_id {kind}, start long, length long, {value}, doc_tokens long, sequence_id long, offset long")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -5,20 +5,23 @@ selectors 0 to 13 stand for the counts in COUNTS. Values of 60 bits or more are
 selector 15, then the value as a word of its own. Ids are coded in blocks of BLOCK, each of which
 starts at a word of its own, so blocks are coded and decoded side by side.
 
-File. Magic, then header counts (documents, ids, blocks, words), the length of each document and the
-first word of each block as 64-bit integers, then the words; all little-endian. A partition of
-documents, in ascending order, fills files of at most FILE_IDS ids; names sort in document order.
+File. Magic, the words, the length and the id of each document and the first word of each block as
+64-bit integers, then counts (documents, ids, blocks, words, documents with a null id) and magic; all
+little-endian. So a file is written as its words come, and read from any block on. A partition of
+documents, in ascending order, fills files of at least FILE_IDS ids; names sort in document order.
 
 Recovery. A task writes each file under a name of its own and then renames it, so a task that runs
 again or twice leaves the same files. The manifest (one row per file) is checkpointed and is what
 readers trust.
 
 Defined results: null texts are empty and consist of the end id; rows with a null ``doc_id`` come
-first; repeated rows are written as often as they occur; an empty table writes no file.
+first; repeated rows are written as often as they occur; an empty table writes no file; ``doc_id``
+has to be a column of integers.
 """
 
 from __future__ import annotations
 
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, input_bytes, join_small, shared_dir
-from .encoding import encoder
-from .packing import steps, tokenizer_path
+from .common import cut, input_bytes, join_small, map_arrow, shared_dir
+from .encoding import Encoder
+from .packing import tokenizer_path
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 #: Ids in a word, by selector; each has 60 // count bits.
@@ -123,110 +126,153 @@ def decode(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+class Writer:
+    """Writes one file as ids come; holds no more than a slice of ids, and the index."""
+
+    def __init__(self, out):
+        self.out, self.held, self.n_held = out, [], 0
+        self.lengths, self.docs, self.offsets, self.n_ids, self.n_words, self.nulls = [], [], [], 0, 0, 0
+        out.write(MAGIC)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray, docs: pa.Array) -> None:
+        self.lengths.append(lengths.astype("<i8"))
+        self.docs.append(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.nulls += docs.null_count
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= SLICE:
+            self._code(self.n_held // SLICE * SLICE)
+
+    def _code(self, n: int) -> None:
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint64)
+        for k in range(0, n, SLICE):
+            words, first = encode(ids[k : min(k + SLICE, n)])
+            self.out.write(words.astype("<u8").tobytes())
+            self.offsets.append((first + self.n_words).astype("<i8"))
+            self.n_words += len(words)
+        self.n_ids += n
+        self.held, self.n_held = [ids[n:].copy()], len(ids) - n
+
+    def close(self) -> None:
+        self._code(self.n_held)
+        index = [np.concatenate([np.zeros(0, "<i8"), *x]) for x in (self.lengths, self.docs, self.offsets)]
+        for part in index:
+            self.out.write(part.tobytes())
+        self.out.write(np.array([len(index[0]), self.n_ids, len(index[2]), self.n_words, self.nulls], "<i8").tobytes() + MAGIC)
+
+
+class Reader:
+    """A file's index, and the ids of any of its documents."""
+
+    def __init__(self, data):
+        if bytes(data[:8]) != MAGIC or bytes(data[len(data) - 8 :]) != MAGIC:
+            raise ValueError("not a whole token file")
+        docs, self.n_ids, blocks, words, nulls = (int(x) for x in np.frombuffer(data, "<i8", 5, len(data) - 48))
+        at = 8 + 8 * words
+        self.words = np.frombuffer(data, "<u8", words, 8)
+        self.lengths, self.doc_ids = np.frombuffer(data, "<i8", docs, at), np.frombuffer(data, "<i8", docs, at + 8 * docs)
+        self.offsets = np.r_[np.frombuffer(data, "<i8", blocks, at + 16 * docs), words]
+        self.nulls = np.arange(docs) < nulls  # they come first
+        self.ends = np.cumsum(self.lengths)
+        if docs and self.ends[-1] != self.n_ids:
+            raise ValueError(f"{self.ends[-1]} ids in documents where the file says {self.n_ids}")
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """Ids from number ``first`` on, before ``last``; only their blocks are decoded."""
+        i, j = first // BLOCK, -(-last // BLOCK)
+        at, end = self.offsets[i], self.offsets[j]
+        return decode(self.words[at:end], self.offsets[i:j] - at)[first - i * BLOCK : last - i * BLOCK]
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents with about a slice of ids each, one document at least."""
+        i = 0
+        while i < len(self.ends):
+            before = self.ends[i] - self.lengths[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, before + SLICE, "right")))
+            yield i, j
+            i = j
+
+
 def to_file(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    words, offsets, at = [], [], 0
-    for k in range(0, len(ids), SLICE):
-        w, first = encode(ids[k : k + SLICE])
-        words.append(w)
-        offsets.append(first + at)
-        at += len(w)
-    words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-    offsets = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
-    head = np.array([len(lengths), len(ids), len(offsets), len(words)], "<i8")
-    return MAGIC + head.tobytes() + lengths.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + words.astype("<u8").tobytes()
+    """The bytes of a file whose documents are numbered from 0."""
+    out = io.BytesIO()
+    writer = Writer(out)
+    writer.add(ids, lengths, pa.array(np.arange(len(lengths))))
+    writer.close()
+    return out.getvalue()
 
 
 def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, length of each document)."""
-    if bytes(data[:8]) != MAGIC:
-        raise ValueError("not a token file")
-    docs, n, blocks, count = np.frombuffer(data, "<i8", 4, 8)
-    lengths = np.frombuffer(data, "<i8", docs, 40)
-    offsets = np.frombuffer(data, "<i8", blocks, 40 + 8 * docs)
-    words, step = np.frombuffer(data, "<u8", count, 40 + 8 * (docs + blocks)), SLICE // BLOCK
-    edges = [*range(0, blocks, step), blocks]
-    parts = []
-    for i, j in zip(edges[:-1], edges[1:]):
-        first, last = int(offsets[i]), int(offsets[j]) if j < blocks else int(count)
-        part = decode(words[first:last], offsets[i:j] - first)
-        parts.append(part.astype(np.uint32) if len(part) and part.max() < 1 << 32 else part)
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if len(ids) != n:
-        raise ValueError(f"{len(ids)} ids where the header says {n}")
-    return ids, lengths
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-    store.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
-        out.write(data)
-    store.move(own, f"{path}/{name}")
+    file = Reader(data)
+    parts = [file.ids(int(file.ends[i] - file.lengths[i]), int(file.ends[j - 1])) for i, j in file.groups()]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), file.lengths
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int) -> Iterator[pa.RecordBatch]:
-    tokens, part, number = encoder(path, False, end), TaskContext.get().partitionId(), 0
-    ids, sizes, docs, held = [], [], [], 0
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store.create_dir(place, recursive=True)
+    tokens, part, number = Encoder(path, False, end), TaskContext.get().partitionId(), 0
+    own = writer = None
 
-    def flush() -> pa.RecordBatch:
-        nonlocal number
+    def closed() -> pa.RecordBatch:
+        nonlocal number, writer
+        writer.close()
+        writer.out.close()
         name = f"part-{part:06d}-{number:06d}.s8b"
-        _put(folder, name, to_file(np.concatenate(ids), np.concatenate(sizes)))
-        keys = pa.concat_arrays(docs)
-        row = [pa.array([name]), pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
-        number += 1
-        return pa.RecordBatch.from_arrays(row, ["file", "part", "number", "n", "doc_ids"])
+        store.move(own, f"{place}/{name}")
+        row = [pa.array([name]), pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([writer.n_ids], pa.int64())]
+        number, writer = number + 1, None
+        return pa.RecordBatch.from_arrays(row, ["file", "part", "number", "n"])
 
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, j in steps(texts):
-            out, size = tokens.encode(texts[i:j])
-            ids.append(out)
-            sizes.append(size)
-            docs.append(batch.column("doc_id").slice(i, j - i))
-            held += len(out)
-            if held >= FILE_IDS:
-                yield flush()
-                ids, sizes, docs, held = [], [], [], 0
-    if ids:
-        yield flush()
+        for i, j, ids, size in tokens.encode(batch.column("text")):
+            if writer is None:
+                own = f"{place}/.{part:06d}-{number:06d}-{uuid.uuid4().hex}"
+                writer = Writer(store.open_output_stream(own))
+            writer.add(ids, size, batch.column("doc_id").slice(i, j - i))
+            if writer.n_ids >= FILE_IDS:
+                yield closed()
+    if writer is not None:
+        yield closed()
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """Writes the files in ascending order of doc_id; returns the manifest: file, part, number, n, doc_ids, base (ids before the file)."""
-    path, kind = tokenizer or tokenizer_path(TOKENIZER), docs.schema["doc_id"].dataType.simpleString()
+    """Writes the files in ascending order of doc_id; returns the manifest: file, part, number, n, base (ids before the file)."""
+    path = tokenizer or tokenizer_path(TOKENIZER)
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, "text") // PARTITION_BYTES)
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = cut(ordered.mapInArrow(lambda b: _write(b, folder, path, end), f"file string, part long, number long, n long, doc_ids array<{kind}>"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = whole.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    manifest = cut(map_arrow(ordered, lambda b: _write(b, folder, path, end), "file string, part long, number long, n long"))
     before = F.sum("n").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return cut(join_small(manifest, cut(manifest.select("file", before.alias("base"))), "file"))
+    return cut(manifest.withColumn("base", before))  # one row per file
 
 
 def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, lengths = from_file(batch.column("content")[k].as_buffer())
-            data, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
-            start = ends - lengths
-            pieces = [data[4 * i : 4 * j] for i, j in zip(start.tolist(), ends.tolist())]
-            last = pa.array([bytes(p) for p in pieces], pa.binary()) if whole else pa.array([zlib.crc32(p) for p in pieces], pa.int64())
-            columns = [batch.column("doc_ids")[k].values, pa.array(batch.column("base")[k].as_py() + start), pa.array(lengths.astype(np.int64)), last]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids" if whole else "ids_crc32"])
+            file, name = Reader(batch.column("content")[k].as_buffer()), batch.column("file")[k].as_py()
+            for i, j in file.groups():
+                start, lengths = file.ends[i:j] - file.lengths[i:j], file.lengths[i:j]
+                data = memoryview(file.ids(int(start[0]), int(file.ends[j - 1])).astype("<u4").tobytes())
+                at = 4 * (start - start[0])
+                pieces = [data[p : p + 4 * m] for p, m in zip(at.tolist(), lengths.tolist())]
+                last = pa.array([bytes(p) for p in pieces], pa.binary()) if whole else pa.array([zlib.crc32(p) for p in pieces], pa.int64())
+                columns = [pa.array([name] * (j - i)), pa.array(file.doc_ids[i:j].astype(np.int64), mask=file.nulls[i:j]), pa.array(start), pa.array(lengths.astype(np.int64)), last]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "at", "n_tokens", "ids" if whole else "ids_crc32"])
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, whole: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens and the ids (or their crc32) of each document, from the files."""
-    kind = manifest.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {kind}, start long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long")
+    """doc_id, start, n_tokens and the ids (or their crc32) of each document, from the files of the manifest."""
+    value = "ids" if whole else "ids_crc32"
     if manifest.isEmpty():
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {value} {'binary' if whole else 'long'}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder)
     named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
-    both = join_small(named, manifest.select("file", "doc_ids", "base"), "file", max_rows=2_000)
-    return both.select("content", "doc_ids", "base").mapInArrow(lambda b: _read(b, whole), schema)
+    found = map_arrow(named, lambda b: _read(b, whole), f"file string, doc_id long, at long, n_tokens long, {value} {'binary' if whole else 'long'}")
+    return join_small(found, manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", value)
 
 
 def op10(docs: DataFrame) -> DataFrame:
