@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import jaccard_join, language_id, mixing, packing, substring_dedup
-from paperloom.llm.common import cut, table
+from paperloom.session import cut, table
 
 #: Near-duplicates of the stage: word shingles of this length, and this similarity in percent. The query op6 has its own.
 SHINGLE, PERCENT = 5, 80
@@ -38,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence, with its ids. Python workers outlive the stage, so it remembers little."""
-    return packing.pack(docs, cache=100_000)
+    """One row per piece of a document in a sequence, with its ids."""
+    return packing.pack(docs)
 
 
 STAGES = [("language ID", known_language), ("n-gram Jaccard join", one_of_each_group), ("substring dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
