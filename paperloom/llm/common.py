@@ -47,3 +47,11 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_row
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over the whole table; sizes the number of buckets, never what is processed."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def free_name(df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    name = "found"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name

@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are taken together up to this many bytes, so that the arrays of one step stay small.
 CHUNK = 1 << 19
+#: Bytes of text whose hashes are sent, and matched with each other, together.
+SENT = 16 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,6 +48,13 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         row = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, so that arrays over a batch stay small."""
+    for batch in batches:
+        for first, last, _, _ in chunks(batch.column(column), size):
+            yield batch.slice(first, last - first)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in order, and the offsets of each row's words."""
     rows = len(offsets) - 1

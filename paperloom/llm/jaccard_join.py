@@ -16,8 +16,9 @@ similarity reaches PERCENT / 100. With ``e = n - ceil(PERCENT * n / 100)`` no mo
    end in it, and combinations of COMBINE neighbouring frequent tokens are indexed.
 4. Each index entry is verified against one leader of its posting list (the set with the fewest rare
    tokens), which links thousands of near copies without comparing all pairs; then only members
-   that still lie in different components are compared, each pair once, at the first key that it
-   shares, and after bounds on size, on shared tokens, and on the difference that parity bits show.
+   that still lie in different components are compared, after bounds on size, on shared tokens, and
+   on the difference that parity bits show. Posting lists of more than BLOCK sets meet block by block.
+   A pair is left out at a key if both sets have the same key before it, where they have met already.
 
 Verification counts the intersection of whole token sets. All steps are exact but for 64-bit hashes.
 
@@ -36,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, join_small, map_arrow
 from .components import components
-from .hashing import chunks, mixed, sequences, word_hashes
+from .hashing import SENT, chunks, mixed, sequences, slices, word_hashes
 from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens of more sets than this are frequent; neighbouring frequent tokens are combined by COMBINE.
 RARE, COMBINE = 8, 2
+#: Sets of a posting list that meet in one group; tokens that a task holds before it hands them on.
+BLOCK, HELD = 1024, 1 << 18
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -88,17 +91,23 @@ def _parity(t: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], shingle: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """doc_id, n, two hashes of the set, and its tokens if asked for."""
+
+    def rows_of(batch: pa.RecordBatch, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        sums = [pa.array(np.array([mixed(t ^ salt).sum(dtype=np.uint64) for _, t in found], np.uint64).view(np.int64)) for salt in (np.uint64(0), _SALT)]
+        lists = [_arrays([f(t) if whole else t[:0] for _, t in found]) for f in (lambda t: t, _parity)]
+        ids = batch.column("doc_id").take(pa.array([row for row, _ in found], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(t) for _, t in found], pa.int32()), *sums, *lists], ["doc_id", "n", "s1", "s2", "tokens", "parity"])
+
     for batch in batches:
-        found, n, s1, s2, tokens, parity = [], [], [], [], [], []
+        found, held = [], 0
         for row, t in _sets(batch, shingle):
-            found.append(row)
-            n.append(len(t))
-            s1.append(mixed(t).sum(dtype=np.uint64))
-            s2.append(mixed(t ^ _SALT).sum(dtype=np.uint64))
-            tokens.append(t if whole else t[:0])
-            parity.append(_parity(t) if whole else t[:0])
-        sums = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found, pa.int64())), pa.array(n, pa.int32()), *sums, _arrays(tokens), _arrays(parity)], ["doc_id", "n", "s1", "s2", "tokens", "parity"])
+            found.append((row, t))
+            held += len(t)
+            if held >= HELD:
+                yield rows_of(batch, found)
+                found, held = [], 0
+        if found:
+            yield rows_of(batch, found)
 
 
 _SIGNED = "doc_id long, n int, s1 long, s2 long, tokens array<long>, parity array<long>"
@@ -109,7 +118,7 @@ _TOKEN_HASH = ("<u4", "<u1")  # 40 bits beside the bucket: enough to screen with
 
 def _send(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Tokens of extended prefixes: buckets below ``buckets`` get one record of each token that the batch can't judge alone; those above, documents of tokens known to be shared."""
-    for k, batch in enumerate(batches):
+    for k, batch in enumerate(slices(batches, SENT)):
         ids, tokens, owner = batch.column("doc_id").to_numpy(zero_copy_only=False), [], []
         for row, t in _sets(batch, shingle):
             if len(t):
@@ -148,7 +157,7 @@ def _reply(group: pa.Table, buckets: int) -> pa.Table:
 def _screen(docs: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id of documents whose extended prefix has enough tokens that others have too; equal sets count as others here."""
     buckets = bucket_count(docs)
-    sent = docs.mapInArrow(lambda b: _send(b, shingle, percent, buckets), SCHEMA)
+    sent = map_arrow(docs, lambda b: _send(b, shingle, percent, buckets), SCHEMA)
     hits = sent.groupBy("bucket").applyInArrow(lambda g: _reply(g, buckets), "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
     e = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
     needed = F.least(F.greatest(F.lit(1), F.floor((e + 1) / 2)), F.col("n") - e)
@@ -157,8 +166,15 @@ def _screen(docs: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> Da
 
 def _keys(batches: Iterator[pa.RecordBatch], percent: int, combine: int) -> Iterator[pa.RecordBatch]:
     """Index entries (key, doc_id, n, common, rare) of sets whose shared tokens are given in two classes."""
+
+    def rows_of(out: list) -> pa.RecordBatch:
+        size = np.array([len(keys) for keys, *_ in out])
+        doc, n, common, rare = (np.repeat(np.array([x[k] for x in out], kind), size) for k, kind in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int32)))
+        key = np.concatenate([keys for keys, *_ in out]).view(np.int64)
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (key, doc, n, common, rare))), ["key", "doc_id", "n", "common", "rare"])
+
     for batch in batches:
-        out = []
+        out, held = [], 0
         for doc, n, few, many in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("few"), batch.column("many")):
             few = np.sort(np.array(few.values, np.int64).view(np.uint64))
             many = np.sort(np.array(many.values, np.int64).view(np.uint64))
@@ -172,11 +188,13 @@ def _keys(batches: Iterator[pa.RecordBatch], percent: int, combine: int) -> Iter
                 apart = (100 - percent) * n // percent - rare  # frequent tokens that only one of a linked pair has
                 end = min(len(many), e - rare + (combine - 1) * max(apart, 0) + combine)
                 keys.append(mixed(sequences(many[:end], combine) ^ _SALT))
-            keys = np.unique(np.concatenate(keys))
-            out.append((keys, np.full(len(keys), doc), np.full(len(keys), n, np.int32), np.full(len(keys), common, np.int32), np.full(len(keys), rare, np.int32)))
+            out.append((np.unique(np.concatenate(keys)), doc, n, common, rare))
+            held += len(out[-1][0])
+            if held >= HELD:
+                yield rows_of(out)
+                out, held = [], 0
         if out:
-            key, doc, n, common, rare = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc, pa.int64()), pa.array(n), pa.array(common), pa.array(rare)], ["key", "doc_id", "n", "common", "rare"])
+            yield rows_of(out)
 
 
 def _may_link(n1: Column, common1: Column, n2: Column, common2: Column, percent: int) -> Column:
@@ -205,13 +223,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, combine: int = COMBINE) -> tuple[DataFrame, DataFrame]:
     """(classes, labels): doc_id, n_shingles and the representative of each row; id and component label of linked representatives."""
     texts_of = docs.select("doc_id", "text").where("doc_id is not null")
-    signed = cut(texts_of.mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED).drop("tokens", "parity"))
+    signed = cut(map_arrow(texts_of, lambda x: _signed(x, shingle, False), _SIGNED).drop("tokens", "parity"))
     same = cut(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     classes = signed.join(same, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     firsts = same.select(F.col("rep").alias("doc_id"), "s1", "s2", "n")
     near = cut(firsts.join(_screen(texts_of, firsts, shingle, percent), "doc_id", "left_semi"))
     texts = join_small(texts_of, near.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(lambda x: _signed(x, shingle, True), _SIGNED)
+    sets = map_arrow(texts, lambda x: _signed(x, shingle, True), _SIGNED)
     sets = cut(join_small(sets, near.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select("doc_id", "n", "tokens", "parity"))
 
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("t"))
@@ -220,7 +238,7 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     lists = classed.groupBy("doc_id", "n").agg(
         F.collect_set(F.when(~F.col("frequent"), F.col("t"))).alias("few"), F.collect_set(F.when(F.col("frequent"), F.col("t"))).alias("many")
     )
-    index = cut(lists.mapInArrow(lambda x: _keys(x, percent, combine), "key long, doc_id long, n int, common int, rare int"))
+    index = cut(map_arrow(lists, lambda x: _keys(x, percent, combine), "key long, doc_id long, n int, common int, rare int"))
 
     leaders = index.groupBy("key").agg(F.min(F.struct("rare", "doc_id", "n", "common")).alias("leader"), F.count("*").alias("members")).where("members > 1")
     spokes = index.join(leaders, "key").where(F.col("doc_id") != F.col("leader.doc_id"))
@@ -230,16 +248,23 @@ def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     labels = components(links)
 
     placed = index.join(labels, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", "n", "common", F.coalesce("label", "doc_id").alias("label"))
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    per_doc = placed.join(open_keys, "key", "left_semi").groupBy("doc_id", "n", "common", "label").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    lists = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("members")).where("x < y")
+    open_keys = placed.join(lists.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
+    per_doc = open_keys.groupBy("doc_id", "n", "common", "label").agg(F.array_sort(F.collect_set(F.struct("key", "blocks"))).alias("keys"))
     per_doc = per_doc.join(sets.select("doc_id", "parity"), "doc_id").dropDuplicates(["doc_id"])
-    open_rows = cut(per_doc.select("*", F.posexplode("keys").alias("pos", "key")).withColumn("earlier", F.slice("keys", F.lit(1), F.col("pos"))).drop("pos", "keys"))
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "common", "label", "parity", "earlier")]) for k in "12")
+    open_rows = per_doc.select("doc_id", "n", "common", "label", "parity", "keys", F.posexplode("keys").alias("pos", "at"))
+    open_rows = open_rows.select("doc_id", "n", "common", "label", "parity", "at.key", "at.blocks", F.coalesce(F.get("keys", F.col("pos") - 1)["key"], F.col("at.key")).alias("before"))
+    open_rows = cut(open_rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")))
+    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = [dealt.where(F.col(low) <= F.col(high)).select("key", F.col(low).alias("low"), F.col(high).alias("high"), *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "common", "label", "parity", "before")])
+           for k, low, high in (("1", "block", "other"), ("2", "other", "block"))]
     may = _may_link(F.col("n1"), F.col("common1"), F.col("n2"), F.col("common2"), percent)
     odd = reduce(lambda x, y: x + y, [F.bit_count(F.get("parity1", F.lit(k)).bitwiseXOR(F.get("parity2", F.lit(k)))) for k in range(PARITY)])
     near_enough = odd * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2"))
-    once = ~F.arrays_overlap("earlier1", "earlier2")  # a pair meets at the first key that both have
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("label1") < F.col("label2")) & may & near_enough & once)
+    left, right = met
+    new = (F.col("label1") != F.col("label2")) & ((left["low"] < left["high"]) | (F.col("doc_id1") < F.col("doc_id2")))
+    first = (F.col("before1") != F.col("before2")) | (F.col("before1") == left["key"])
+    rest = left.join(right, (left["key"] == right["key"]) & (left["low"] == right["low"]) & (left["high"] == right["high"]) & new & first & may & near_enough)
     rest = rest.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
     more = cut(_verify(rest, sets, percent))
     if more.isEmpty():

@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, free_name, released
 from .hashing import chunks
 
 ORDER = 4
-#: Bounds of the sample: documents of each language, taken by hash of doc_id, and bytes of a text.
+#: Bounds of the sample that is learned from: documents of each language, taken by hash of doc_id, and bytes of a text.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 16
 #: A document is rejected if no language codes it in this many bits a byte.
 MAX_BITS = 7.0
@@ -174,26 +175,22 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+FOUND = "lang_pred string, score double, bits_per_byte double"
+
+
+def _predict(texts: pa.Array, model: Model) -> pa.Array:
+    """A struct of FOUND for each text."""
     names = pa.array([*model.languages, "und"], pa.string())
-    for batch in batches:
-        best, score, rate = [], [], []
-        for first, last, data, offsets in chunks(batch.column("text")):
-            letters = _has_letter(data, offsets) & (len(model.languages) > 0)
-            pick, sure, each = np.full(last - first, len(names) - 1), np.zeros(last - first), np.zeros(last - first)
-            if letters.any():
-                bits = model.bits(data, offsets)
-                least = bits.min(axis=1)
-                pick[letters] = bits.argmin(axis=1)[letters]
-                sure[letters] = (1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(axis=1))[letters]
-                each[letters] = (least / np.maximum(np.diff(offsets), 1))[letters]
-            best.append(pick)
-            score.append(sure)
-            rate.append(each)
-        if best:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score)), pa.array(np.concatenate(rate))], ["row", "text", "lang_pred", "score", "bits_per_byte"]
-            )
+    best, score, rate = (np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.zeros(len(texts)))
+    for first, last, data, offsets in chunks(texts):
+        letters = _has_letter(data, offsets) & (len(model.languages) > 0)
+        if letters.any():
+            bits = model.bits(data, offsets)
+            least, at = bits.min(axis=1), np.arange(first, last)[letters]
+            best[at] = bits.argmin(axis=1)[letters]
+            score[at] = (1 / np.exp2(np.minimum(least[:, None] - bits, 0)).sum(axis=1))[letters]
+            rate[at] = (least / np.maximum(np.diff(offsets), 1))[letters]
+    return pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -201,36 +198,44 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """The model of the languages of the labelled documents that are not held out, from a bounded sample."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    labelled = labelled.where(F.octet_length("text") <= sample_bytes)
-    names = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").collect()]
-    chosen = [labelled.where(F.col("lang") == name).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs) for name in names]
-    if not chosen:
-        return Model({})
-    ids = chosen[0]
-    for more in chosen[1:]:
-        ids = ids.unionByName(more)
-    rows = ids.select("doc_id", "lang").collect()  # sample_docs for each language at most
-    few = docs.sparkSession.createDataFrame(rows, "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", lang string")
-    texts = labelled.select("doc_id", "lang", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(few), ["doc_id", "lang"], "left_semi").orderBy("doc_id", "text").collect()
-    return Model({name: [bytes(r["text"]) for r in texts if r["lang"] == name][: 2 * sample_docs] for name in names})
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, text, lang_pred, score, bits_per_byte): the prediction of every row, from its text alone; ``row`` has the other columns."""
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _predict(b, model), f"row {kind}, text string, lang_pred string, score double, bits_per_byte double")
+    """The model of the languages of the labelled documents that are not held out, from a bounded sample.
+
+    Three narrow reads, whatever the number of languages: the languages with about how many documents
+    each has; documents whose hash is low enough that several times the sample is left, of which the
+    lowest are taken; and the texts of those.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(F.broadcast(cut(counts)), "lang")
+    low = ids.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < 8.0 * sample_docs / F.col("n")).select("lang", "h", "doc_id").distinct()
+    few = cut(low.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("at") <= sample_docs).select("lang", "doc_id"))
+    # one text of each document of the sample: what goes to the driver is bounded by both bounds for each language
+    texts = labelled.select("doc_id", "lang", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(few), ["doc_id", "lang"])
+    texts = texts.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, sample_bytes)).alias("text")).orderBy("lang", "doc_id").collect()
+    samples: dict[str, list[bytes]] = {}
+    for r in texts:
+        samples.setdefault(r["lang"], []).append(bytes(r["text"] or b""))
+    return Model(samples)
+
+
+def predicted(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """The documents with a struct ``name`` of FOUND: the prediction of every row, from its text alone. Only texts go to Python, and only predictions come back."""
+
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(_predict(part, model) for part in parts)
+
+    predict.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    found = F.arrow_udf(predict, f"{FOUND}").asNondeterministic()  # so that it runs once a row
+    return docs.withColumn(name, found(F.col("text")))
 
 
 def of_known_language(docs: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """The documents with their own columns, without those of no language that the model knows."""
-    kept = identify(docs, learn(docs)).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= max_bits))
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    name = free_name(docs)
+    kept = predicted(docs, learn(docs), name).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.bits_per_byte") <= max_bits))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    found = identify(docs.select("doc_id", "text"), learn(docs))  # nothing else can reach a prediction
-    return found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "bits_per_byte")
-
+    found = predicted(docs.select("doc_id", "text"), learn(docs), "found")  # nothing else can reach a prediction
+    return found.select("doc_id", held_out().alias("held_out"), "found.*")

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
-from .hashing import chunks, sequences, word_hashes
+from .common import cut, join_small, map_arrow
+from .hashing import SENT, chunks, sequences, slices, word_hashes
 from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -62,7 +62,7 @@ def _anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Buckets below ``buckets`` get one record of each anchor that the batch can't judge alone; those above, positions known to be shared."""
-    for k, batch in enumerate(batches):
+    for k, batch in enumerate(slices(batches, SENT)):
         h, doc, pos = _anchors(batch)
         if len(h) == 0:
             continue
@@ -95,7 +95,7 @@ def _reply(group: pa.Table, buckets: int) -> pa.Table:
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, pos) of every anchor at a cover position that another document has at one; a few hash collisions more."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    sent = texts.mapInArrow(lambda batches: _send(batches, buckets), SCHEMA)
+    sent = map_arrow(texts, lambda batches: _send(batches, buckets), SCHEMA)
     return sent.groupBy("bucket").applyInArrow(lambda group: _reply(group, buckets), "doc_id long, pos int")
 
 
@@ -108,7 +108,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Windows around shared anchors, like :func:`_send`: of each window the batch sends only its smallest document, and knows that the others repeat it."""
-    for k, batch in enumerate(batches):
+    for k, batch in enumerate(slices(batches, SENT)):
         batch = batch.filter(batch.column("found").is_valid())
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         found, at = _lists(batch.column("found"))
@@ -156,7 +156,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(docs)
     found = shared_anchors(docs, buckets).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("pos").alias("found"))
     near = texts.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
-    windows = near.mapInArrow(lambda batches: _windows(batches, buckets), SCHEMA)
+    windows = map_arrow(near, lambda batches: _windows(batches, buckets), SCHEMA)
     again = windows.groupBy("bucket").applyInArrow(lambda group: _judge(group, buckets), "doc_id long, start int")
     return again.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("start").alias("starts"))
 
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kind = keyed.schema["row"].dataType.simpleString()
     # only texts that lose words meet their windows
     losing = join_small(keyed, ids, "doc_id", "left_semi").join(found, F.col("doc_id") == F.col("of")).select("text", "row", "starts")
-    left = losing.mapInArrow(lambda batches: _kept(batches, True), f"row {kind}, kept string, n_words long, n_removed long").select("row", F.col("kept").alias("text"))
+    left = map_arrow(losing, lambda batches: _kept(batches, True), f"row {kind}, kept string, n_words long, n_removed long").select("row", F.col("kept").alias("text"))
     rest = join_small(keyed, ids, "doc_id", "left_anti").select("row", "text")
     return rest.unionByName(left).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
@@ -202,7 +202,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op3(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text")
     both = texts.join(repeated_windows(docs), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "starts")
-    return both.mapInArrow(lambda batches: _kept(batches, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(both, lambda batches: _kept(batches, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = r"""

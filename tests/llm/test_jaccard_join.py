@@ -59,7 +59,10 @@ def test_equals_brute_force(spark, seed):
     assert got(docs(spark, rows)) == brute(rows)
 
 
-def test_any_threshold_for_frequent_tokens_gives_the_same_links(spark):
+@pytest.mark.parametrize("block, held", [(1024, 1 << 18), (3, 1)])
+def test_any_threshold_for_frequent_tokens_and_any_block_gives_the_same_links(spark, monkeypatch, block, held):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "HELD", held)
     rows = corpus(7)
     expected = {d: c for d, (_, c) in brute(rows).items()}
     for rare, combine in ((1, 2), (3, 3), (10**6, 2)):
