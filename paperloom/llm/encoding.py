@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from .hashing import chunks
 
 #: Bytes of texts that are encoded together; pieces that the library gets at once; runs after which all are forgotten.
-STEP, AT_ONCE, REMEMBERED = 8 << 20, 4_000, 400_000
+STEP, AT_ONCE, REMEMBERED = 4 << 20, 4_000, 400_000
 #: Texts that go to the library whole: rare white space, and what looks like a special token.
 _WHOLE = r"<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Punctuation that may end a word.

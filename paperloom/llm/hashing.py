@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 #: Texts are taken together up to this many bytes, so that the arrays of one step stay small.
 CHUNK = 1 << 19
 #: Bytes of text whose hashes are sent, and matched with each other, together.
-SENT = 16 << 20
+SENT = 4 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

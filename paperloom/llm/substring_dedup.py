@@ -163,7 +163,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
     """The words of each row that no repeated window covers."""
-    for batch in batches:
+    for batch in slices(batches, SENT):
         starts, at = _lists(batch.column("starts"))
         texts, n_words, n_removed, out = batch.column("text").cast(pa.binary()).to_pylist(), [], [], []
         for k, text in enumerate(texts):
