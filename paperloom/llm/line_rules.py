@@ -3,11 +3,15 @@
 Normalised lines are hashed, distinct documents are counted per host (here: source) and line, lines
 above the limits are removed, and documents that lose too much are rejected. Built-in functions
 only. The base counts stay inside a row, so they need no shuffle; the line counts shuffle one narrow
-row per distinct line of a document.
+row per distinct line of a document, once, and are written down for the steps that follow.
+
+Both limits on a line have to be passed: the number keeps small hosts from losing what a few of their
+documents share by chance, the share keeps large hosts from losing what is common in their language.
 
 Defined results: null text has no words and fails the base rules; a null source is a host of its
-own; documents are told apart by ``doc_id``, so repeated rows count once in the line statistics and
-get the same verdict; an empty table gives an empty result.
+own; documents are told apart by ``doc_id``, and rows without one by their text, so repeated rows count
+once in the line statistics and get the same verdict as a single one; rows of one ``doc_id`` with
+different texts or sources are judged each by its own lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words
+from .common import SPACE_CHARS, cut, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -26,7 +30,7 @@ LEFT_WORDS, LEFT_SHARE = 25, 0.3
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text and the base counts."""
+    """doc_id, source, a hash of the text and the base counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
     out = docs.select("doc_id", "source", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("wh"), lines.alias("lines"))
@@ -43,6 +47,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id",
         "source",
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         "n_words",
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -57,23 +62,31 @@ def normal_line(line: Column) -> Column:
 
 
 def line_losses(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """doc_id, words_lost: words on lines that more documents of the host have than the limits allow."""
-    line = F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")).alias("line")
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), line)
-    lines = lines.select("doc_id", "host", F.xxhash64(normal_line(F.col("line"))).alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))
-    # one row per document and distinct line
-    per_doc = lines.groupBy("doc_id", "host", "h").agg(F.max("w").alias("w"), F.count("*").alias("times"))
-    seen = per_doc.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    hosts = docs.groupBy(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    over = seen.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h")
-    return per_doc.join(over, ["host", "h"], "left_semi").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("times")).alias("words_lost"))
+    """doc_id, host, text_hash, words_lost: words on lines that more documents of the host have than the limits allow."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    mark = F.array(F.lit(None).cast("string"))  # a line of nothing, once for each row, whatever its text
+    line = F.explode(F.concat(mark, F.coalesce(lines, F.array().cast("array<string>")))).alias("line")
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), line)
+    hashed = F.when(F.col("line").isNotNull(), F.xxhash64(normal_line(F.col("line")))).alias("h")
+    rows = rows.select("doc_id", "host", "text_hash", hashed, F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))
+    # one row per text of a document and distinct line; `times` counts repeated rows too
+    per_text = cut(rows.groupBy("doc_id", "host", "text_hash", "h").agg(F.max("w").alias("w"), F.count("*").alias("times")))
+    name = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("own")).alias("name")
+    docs_of = per_text.select("host", "h", name).distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
+    hosts = docs_of.where("h is null").select("host", F.col("n_docs").alias("host_docs"))
+    over = docs_of.where((F.col("h").isNotNull()) & (F.col("n_docs") > max_docs)).join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h")
+    text = ["doc_id", "host", "text_hash"]
+    gone = per_text.join(over, ["host", "h"], "left_semi").groupBy(*text).agg(F.sum(F.col("w") * F.col("times")).alias("words"))
+    repeats = per_text.where("h is null").select(*text, "times")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.host") == F.col("b.host")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    return gone.alias("a").join(repeats.alias("b"), same).select("a.doc_id", "a.host", "a.text_hash", (F.col("a.words") / F.col("b.times")).cast("long").alias("words_lost"))
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
     """Base counts, words_lost and the verdict ``kept`` of every row."""
-    lost = line_losses(docs, max_docs, max_share).withColumnRenamed("doc_id", "lost_id")
-    both = base_counts(docs).join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
-    both = both.withColumn("words_lost", F.least(F.coalesce("words_lost", F.lit(0)), F.col("n_words")))
+    base, lost = base_counts(docs).alias("a"), line_losses(docs, max_docs, max_share).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.coalesce(F.concat(F.lit("="), "a.source"), F.lit("")) == F.col("b.host")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    both = base.join(lost, same, "left").select("a.*", F.least(F.coalesce("b.words_lost", F.lit(0)), F.col("a.n_words")).alias("words_lost")).drop("text_hash")
     left = F.col("n_words") - F.col("words_lost")
     depleted = (F.col("words_lost") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
     return both.withColumn("kept", ~F.col("base_failed") & ~depleted)
@@ -85,31 +98,32 @@ def op4(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), win AS (
-  SELECT doc_id, i, (words[i], words[i + 1], words[i + 2]) AS x FROM w, unnest(range(1, len(words) - 1)) AS r(i)
+  SELECT r, i, (words[i], words[i + 1], words[i + 2]) AS x FROM w, unnest(range(1, len(words) - 1)) AS u(i)
 ), twice AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM win) WHERE n > 1
 ), repeats AS (
-  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r
 ), lines AS (
-  SELECT doc_id, source, l AS line FROM w, unnest(string_split(text, chr(10))) AS u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+  SELECT r, doc_id, source, text, l AS line FROM w, unnest(string_split(text, chr(10))) AS u(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r
 ), normal AS (
-  SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+  SELECT r, coalesce(doc_id::VARCHAR, 'text ' || text) AS name, source, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
+), hosts AS (
+  SELECT source AS s, count(DISTINCT coalesce(doc_id::VARCHAR, 'text ' || text)) AS host_docs FROM w GROUP BY source
 ), over AS (
-  SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM normal GROUP BY source, line) a
-  JOIN (SELECT source AS s, count(*) AS host_docs FROM documents GROUP BY source) b ON a.source IS NOT DISTINCT FROM b.s
-  WHERE n_docs > 20 AND n_docs > 0.002 * host_docs
+  SELECT source, line FROM (SELECT source, line, count(DISTINCT name) AS n_docs FROM normal GROUP BY source, line) a
+  JOIN hosts b ON a.source IS NOT DISTINCT FROM b.s WHERE n_docs > 20 AND n_docs > 0.002 * host_docs
 ), lost AS (
-  SELECT doc_id, sum(n) AS n FROM normal JOIN over ON normal.source IS NOT DISTINCT FROM over.source AND normal.line = over.line GROUP BY doc_id
+  SELECT r, sum(n) AS n FROM normal JOIN over ON normal.source IS NOT DISTINCT FROM over.source AND normal.line = over.line GROUP BY r
 ), base AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
          coalesce(repeats.n, 0)::BIGINT AS n_repeat_words, least(coalesce(lost.n, 0), len(words))::BIGINT AS words_lost
-  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id)
+  FROM w LEFT JOIN dup USING (r) LEFT JOIN repeats USING (r) LEFT JOIN lost USING (r)
 ), failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND NOT (words_lost > 0 AND (n_words - words_lost < 25 OR n_words - words_lost < 0.3 * n_words)) AS kept FROM failed
 """

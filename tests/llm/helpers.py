@@ -18,3 +18,19 @@ def awkward(spark):
 
 def empty(spark):
     return docs(spark, [(1, "x")]).where("false")
+
+
+def oracle(sql, **tables):
+    """Sorted rows of the SQL over small DataFrames, and its columns."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame.toArrow())
+    found = con.execute(sql)
+    columns = [c[0] for c in found.description]
+    return sorted_rows(dict(zip(columns, row)) for row in found.fetchall())
+
+
+def sorted_rows(rows):
+    return sorted((tuple(sorted((k, v) for k, v in (r if isinstance(r, dict) else r.asDict()).items())) for r in rows), key=str)

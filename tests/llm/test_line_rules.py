@@ -4,7 +4,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from helpers import LONG, awkward, docs, empty
+from helpers import LONG, awkward, docs, empty, oracle, sorted_rows
 from paperloom.llm import line_rules as Q
 
 
@@ -48,3 +48,18 @@ def test_frequent_lines_deplete(spark):
     assert all(not got[k].kept and got[k].words_lost >= 71 for k in range(30))
     assert all(got[100 + k].kept and got[100 + k].words_lost == 71 for k in range(5))
     assert all(got[200 + k].kept and got[200 + k].words_lost == 0 for k in range(5))  # another host
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    common = " ".join(f"boiler{k}" for k in range(40))
+    rows = [(k, f"{common}\nfew own words {k}", "en", "a") for k in range(25)]
+    good = f"{common}\n" + " ".join(f"own{k}" for k in range(60))
+    rows += [(50, good, "en", "a")] * 3 + [(None, good.replace("own", f"o{k}"), "en", "a") for k in range(3)] * 2
+    rows += [(60, f"{common}\n{common}\nother", "en", "a"), (60, "another text of the document", "en", "a"), (60, f"{common}\nin b", "en", "b")]
+    frame = docs(spark, rows)
+    got = Q.op4(frame).collect()
+    assert all(r.kept and r.words_lost == 40 for r in got if r.doc_id in (50, None))
+    assert sorted((r.n_words, r.words_lost) for r in got if r.doc_id == 60) == [(5, 0), (42, 0), (81, 80)]
+    assert sorted_rows(got) == oracle(Q.ORACLE_SQL, documents=frame)
+    few = docs(spark, [(k % 4 if k % 5 else None, "one line of words\nand another", "en", "a") for k in range(100)])
+    assert {r.words_lost for r in Q.op4(few).collect()} == {0}  # five documents, however often they occur
