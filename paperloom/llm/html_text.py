@@ -1,18 +1,23 @@
 """HTML extraction: flat text blocks, classified by a decision tree.
 
-A page is read as a flat list of text blocks, cut at block-level tags. Each block has its word count
-and link density, those of its neighbours, and what its open elements say (page regions, form parts,
-names in class, id and role). A CART tree trained on the labelled table below decides which blocks
-are content.
-
-Defined results: null or empty html, and pages without content, give an empty text; unclosed and
-stray tags are read as browsers mostly do; very long pages are read whole; repeated rows give
-repeated results; an empty table gives an empty result.
+A page is read as a flat list of text blocks, cut at block-level tags. A CART tree trained on the
+labelled pages below decides which blocks are content, from the word count and link density of the
+block and of its neighbours, and from what its open elements say: a page region, the article (or that
+the page has it elsewhere, or none), a heading, and names in class, id and role that consist of words
+for page furniture or for comments. A name alone decides nothing but comments: in an article, a block
+so named still is content if it is long and stands among text.
+
+Defined results: null or empty html, and pages without content, give an empty text; tags are read as
+HTML does, so quotes count only around whole attribute values, and a tag, comment or quote that is never
+closed reaches to the end; unclosed and stray elements are read as browsers mostly do; very long pages
+are read whole, in time in proportion to their length; repeated rows give repeated results; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: Elements that end a block, that hide text, and that never have content.
 BLOCKS = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li "
@@ -30,50 +37,65 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that a start tag of the same group closes.
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
 REGIONS = frozenset("nav footer aside header form menu dialog".split())
-#: Parts of names that mark page furniture.
+#: Words for page furniture and for reader comments in names; words that may stand beside them.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr header login menu modal nav navbar navigation "
-    "newsletter notice notification overlay pagination popup promo promoted promotion related respond reply replies share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login menu modal nav navbar navigation "
+    "newsletter notice overlay pagination popup promo promotion share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget".split()
+)
+COMMENTS = frozenset("comment comments discussion disqus feedback reply replies respond responses".split())
+BESIDE = frozenset("area bar block bottom box button buttons col column container content form inner item items left link links list main message outer page panel reader right row section site slot text thread top unit user visitor wrap wrapper".split())
+#: A comment, a declaration, a stray end, or a tag with its attributes; each reaches to the end of the page if it isn't closed, so no character is read twice.
+_TAG = re.compile(
+    r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)"
 )
-#: Of these, the ones that mark comments even on an article; and those that are no furniture inside the main element.
-COMMENTS = frozenset("comment comments discussion disqus reply replies respond".split())
-_INNER = FURNITURE - {"header", "toolbar", "widget"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/=>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+)))?")
+_MARKS = re.compile(r"class|id|role|hidden|style", re.I)
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LONG_NUMBER = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
+_ZEROS = re.compile(r"&#([xX]?)0{2,}")
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in region", "furniture name", "in main", "heading")
-#: The labelled table. One block a row, the features in the order above, then 1 for content.
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "region", "furniture name", "comment name", "article", "heading")
+#: The labelled table. Each line is a page of blocks: words, words in links, marks, 1 for content.
+#: Marks: r region, n furniture name, c comment name, m in the article, h heading. Neighbours follow from the order.
 LABELLED = (
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0, 0),
-    (12, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0, 0), (6, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0), (40, 0.0, 3, 1.0, 8, 0.0, 0, 1, 0, 0, 0), (25, 0.1, 60, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
-    (30, 0.0, 25, 0.1, 12, 0.1, 0, 1, 0, 0, 0), (8, 0.0, 120, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (15, 0.2, 80, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (20, 0.0, 90, 0.0, 4, 0.5, 1, 0, 0, 0, 0),
-    (10, 0.0, 6, 0.0, 60, 0.0, 0, 0, 1, 1, 1), (4, 0.0, 3, 0.0, 80, 0.0, 0, 0, 1, 1, 1), (9, 0.0, 12, 0.0, 30, 0.0, 0, 0, 1, 1, 1), (2, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1, 1, 1),
-    (80, 0.0, 10, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (45, 0.05, 80, 0.0, 3, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 45, 0.0, 8, 0.0, 0, 0, 1, 0, 1),
-    (150, 0.02, 3, 0.0, 15, 0.2, 0, 0, 1, 0, 1), (7, 0.0, 9, 0.0, 0, 0.0, 0, 0, 1, 0, 1), (18, 0.3, 70, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (5, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 1),
-    (60, 0.0, 9, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (90, 0.04, 60, 0.0, 50, 0.02, 0, 0, 0, 0, 1), (30, 0.0, 90, 0.04, 20, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (9, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (12, 0.1, 45, 0.0, 8, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 2, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (6, 0.9, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (3, 0.8, 4, 1.0, 20, 0.0, 0, 0, 0, 0, 0),
-    (10, 0.8, 90, 0.0, 9, 0.7, 0, 0, 0, 0, 0), (12, 0.7, 10, 0.8, 80, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 70, 0.0, 0, 0, 1, 0, 1), (8, 1.0, 60, 0.0, 30, 0.0, 0, 0, 1, 0, 1),
-    (30, 0.0, 20, 0.0, 25, 0.0, 1, 0, 0, 0, 0), (70, 0.0, 12, 0.0, 40, 0.0, 1, 0, 0, 0, 0), (5, 0.0, 70, 0.0, 6, 1.0, 1, 0, 0, 1, 0), (22, 0.0, 5, 0.0, 35, 0.0, 0, 1, 0, 0, 0),
-    (55, 0.0, 22, 0.0, 18, 0.0, 1, 1, 0, 0, 0), (3, 0.0, 100, 0.0, 24, 0.0, 0, 1, 0, 1, 0), (16, 0.0, 50, 0.0, 28, 0.0, 1, 0, 1, 0, 0), (20, 0.0, 60, 0.0, 12, 0.0, 0, 1, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 200, 0.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 90, 0.0, 1, 0, 0, 0, 0), (30, 0.0, 0, 0.0, 300, 0.0, 1, 0, 0, 0, 0), (9, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 0, 0),
-    (8, 0.0, 1, 1.0, 250, 0.0, 0, 1, 0, 0, 0), (60, 0.0, 40, 0.0, 120, 0.0, 0, 1, 0, 0, 0), (14, 0.0, 2, 0.5, 80, 0.0, 0, 1, 0, 0, 0), (33, 0.0, 70, 0.0, 60, 0.0, 0, 1, 0, 0, 0),
-    (11, 0.0, 1, 1.0, 5, 0.0, 0, 1, 0, 0, 0), (100, 0.0, 150, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (7, 0.0, 90, 0.0, 2, 0.0, 1, 0, 0, 0, 0), (18, 0.0, 4, 0.0, 6, 0.0, 1, 0, 0, 0, 0),
-    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 9, 0.0, 2, 0.0, 0, 0, 1, 1, 1), (5, 0.0, 4, 0.0, 6, 0.0, 0, 0, 1, 0, 1), (120, 0.0, 2, 0.0, 9, 0.1, 0, 0, 1, 0, 1),
-    (9, 0.0, 9, 0.0, 12, 0.0, 0, 0, 1, 1, 1), (30, 0.0, 30, 0.0, 15, 0.0, 0, 0, 1, 0, 1), (40, 0.0, 1, 0.0, 3, 0.0, 0, 0, 1, 0, 1), (16, 0.5, 8, 0.0, 9, 0.0, 0, 0, 1, 0, 1),
-    (3, 1.0, 20, 0.0, 7, 0.0, 0, 0, 1, 0, 1), (6, 0.0, 1, 1.0, 4, 0.0, 0, 0, 1, 1, 1), (300, 0.0, 200, 0.0, 11, 0.0, 0, 0, 1, 0, 1), (10, 0.0, 300, 0.0, 12, 0.0, 0, 0, 1, 0, 1),
-    (2, 0.0, 3, 0.0, 10, 0.0, 0, 0, 1, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 1), (25, 0.0, 6, 0.0, 14, 0.0, 0, 0, 1, 0, 1), (50, 0.0, 8, 0.0, 5, 1.0, 0, 0, 1, 0, 1),
-    (12, 0.0, 0, 0.0, 9, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 12, 0.0, 6, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 14, 0.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 8, 0.0, 2, 0.0, 0, 0, 0, 1, 1), (1, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (26, 0.2, 18, 0.0, 10, 0.0, 0, 0, 0, 0, 1), (5, 1.0, 9, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
-    (4, 1.0, 70, 0.0, 4, 1.0, 1, 0, 1, 0, 0), (65, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1, 0, 0), (35, 0.0, 40, 0.0, 45, 0.0, 1, 1, 1, 0, 0), (2, 0.0, 65, 0.0, 30, 0.0, 0, 1, 1, 1, 0),
+    ((1, 1, "r", 0), (1, 1, "r", 0), (2, 2, "r", 0), (8, 0, "n", 0), (9, 0, "mh", 1), (40, 0, "m", 1), (18, 2, "m", 1), (3, 0, "m", 1), (75, 4, "m", 1), (12, 1, "r", 0)),
+    ((4, 1, "r", 0), (20, 0, "n", 0), (6, 0, "mh", 1), (60, 0, "m", 1), (1, 0, "mn", 0), (30, 0, "m", 1), (5, 0, "mn", 0), (9, 0, "m", 1), (35, 0, "mn", 1), (50, 0, "m", 1), (3, 3, "mn", 0), (15, 0, "r", 0)),
+    ((30, 0, "m", 1), (14, 0, "mn", 1), (22, 1, "m", 1), (20, 0, "mn", 1), (16, 0, "mn", 1), (45, 0, "m", 1), (6, 6, "m", 0), (5, 5, "m", 0), (7, 7, "m", 0), (20, 0, "mc", 0), (45, 0, "mc", 0), (3, 1, "mc", 0)),
+    ((1, 1, "", 0), (1, 1, "", 0), (2, 2, "", 0), (3, 0, "", 0), (2, 2, "", 0), (7, 0, "h", 1), (55, 1, "", 1), (12, 0, "", 1), (80, 3, "", 1), (6, 0, "", 1), (33, 0, "", 1)),
+    ((64, 2, "", 1), (21, 0, "", 1), (2, 0, "h", 0), (8, 8, "", 0), (7, 7, "", 0), (9, 9, "", 0), (6, 0, "", 0), (3, 3, "", 0)),
+    ((4, 0, "", 1),),
+    ((10, 0, "", 1), (8, 0, "", 1), (3, 0, "", 1), (26, 0, "", 1)),
+    ((2, 0, "h", 1), (5, 0, "", 1), (40, 0, "", 1)),
+    ((5, 0, "", 0), (30, 0, "", 0), (11, 0, "mh", 1), (70, 0, "m", 1), (44, 5, "m", 1), (25, 0, "", 0), (4, 0, "", 0), (2, 2, "", 0)),
+    ((3, 3, "r", 0), (8, 0, "h", 1), (60, 0, "m", 1), (12, 0, "m", 1), (28, 0, "m", 1), (3, 0, "h", 0), (18, 0, "", 0), (6, 6, "", 0)),
+    ((7, 0, "mh", 1), (50, 0, "m", 1), (30, 0, "mr", 0), (5, 5, "mr", 0), (65, 2, "m", 1), (3, 0, "mr", 0), (2, 0, "mr", 0), (9, 0, "mr", 0), (20, 0, "m", 1), (70, 0, "r", 0)),
+    ((2, 0, "m", 1), (1, 0, "m", 1), (6, 0, "m", 1), (2, 2, "m", 1), (4, 0, "m", 1), (5, 0, "m", 1), (1, 1, "m", 1), (30, 0, "m", 1), (8, 6, "m", 1), (12, 0, "m", 1)),
+    ((4, 0, "mh", 1), (3, 3, "m", 0), (2, 2, "m", 0), (3, 3, "m", 0), (4, 4, "m", 0), (55, 0, "m", 1), (48, 0, "m", 1)),
+    ((52, 0, "m", 1), (30, 0, "c", 0), (4, 1, "c", 0), (90, 0, "c", 0), (2, 0, "ch", 0), (14, 0, "c", 0), (10, 0, "r", 0), (35, 0, "r", 0)),
+    ((25, 0, "n", 0), (6, 0, "n", 0), (90, 2, "", 1), (120, 2, "n", 1), (100, 0, "", 1), (18, 0, "n", 0), (40, 0, "c", 0), (5, 5, "n", 0)),
+    ((1, 0, "n", 0), (60, 0, "m", 1), (2, 0, "mn", 0), (7, 0, "mn", 0), (26, 0, "m", 1), (4, 2, "mn", 0), (80, 1, "m", 1), (10, 0, "n", 0), (33, 0, "n", 0)),
+    ((1, 1, "r", 0), (200, 3, "m", 1), (150, 0, "m", 1), (20, 0, "mr", 0), (300, 9, "m", 1), (100, 0, "mc", 0), (8, 0, "r", 0)),
+    ((20, 0, "m", 1), (2, 2, "m", 1), (21, 0, "m", 1), (3, 3, "m", 1), (45, 0, "m", 1), (1, 1, "m", 0), (2, 2, "m", 0), (1, 1, "m", 0)),
+    ((25, 0, "m", 1), (2, 2, "m", 1), (30, 0, "m", 1), (4, 4, "m", 1), (18, 0, "m", 1), (1, 1, "m", 1), (15, 0, "m", 1), (6, 6, "m", 1), (60, 0, "m", 1), (9, 8, "m", 1), (22, 0, "m", 1)),
+    ((40, 0, "m", 1), (6, 6, "m", 0), (8, 8, "m", 0), (30, 0, "m", 1), (2, 2, "m", 0), (5, 5, "m", 0), (16, 0, "m", 1), (9, 9, "m", 0), (7, 7, "m", 0), (80, 0, "m", 1)),
+    ((19, 0, "m", 1), (1, 1, "m", 0), (2, 2, "m", 0), (4, 4, "m", 0), (1, 1, "m", 0), (12, 0, "r", 0)),
+    ((1, 1, "", 0), (1, 1, "", 0), (4, 0, "", 0), (1, 1, "", 0), (5, 0, "h", 1), (20, 0, "", 1), (38, 0, "", 1), (2, 0, "", 1), (19, 0, "", 1)),
+    ((3, 0, "", 0), (2, 2, "", 0), (1, 1, "", 0), (4, 0, "h", 1), (9, 0, "", 1), (24, 0, "", 1), (3, 0, "", 1), (17, 0, "", 1), (1, 1, "", 0), (1, 1, "", 0)),
+    ((2, 2, "", 0), (3, 3, "", 0), (14, 0, "h", 1), (22, 0, "", 1), (16, 3, "", 1), (35, 0, "", 1), (9, 0, "", 1), (41, 2, "", 1), (5, 4, "", 0), (2, 2, "", 0)),
 )
 
 
+def _rows(blocks: list[tuple[int, int, int, int, int, int, int]]) -> list[tuple]:
+    """FEATURES of each block of a page, given (words, linked words, region, furniture, comment, in the article, heading)."""
+    shape = [(0, 0.0), *((b[0], b[1] / b[0]) for b in blocks), (0, 0.0)]
+    has = any(b[5] for b in blocks)
+    where = lambda inside: 2 if inside else 0 if has else 1  # noqa: E731  in the article, outside it, or there is none
+    return [(*shape[k + 1], *shape[k], *shape[k + 2], *map(int, b[2:5]), where(b[5]), int(b[6])) for k, b in enumerate(blocks)]
+
+
 def _grow(x: np.ndarray, y: np.ndarray, depth: int):
     """A CART tree by Gini impurity: a leaf's label, or (feature, threshold, tree at or below, tree above)."""
     label = int(2 * y.sum() >= len(y))
@@ -93,9 +115,12 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int):
     return f, cut, _grow(x[low], y[low], depth - 1), _grow(x[~low], y[~low], depth - 1)
 
 
-def train(table=LABELLED, depth: int = 6):
-    data = np.array(table, dtype=float)
-    return _grow(data[:, :-1], data[:, -1], depth)
+def train(table=LABELLED, depth: int = 8):
+    x, y = [], []
+    for page in table:
+        x += _rows([(words, linked, *(m in marks for m in "rncmh")) for words, linked, marks, _ in page])
+        y += [label for *_, label in page]
+    return _grow(np.array(x, dtype=float), np.array(y, dtype=float), depth)
 
 
 def _is_content(tree, row: tuple) -> bool:
@@ -105,51 +130,67 @@ def _is_content(tree, row: tuple) -> bool:
     return bool(tree)
 
 
-def _furniture(attributes: str, names: frozenset) -> bool:
-    for m in _NAMES.finditer(attributes):
-        value = _CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()
-        if not names.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _ZEROS.sub(r"&#\1", _LONG_NUMBER.sub("\ufffd", text))
+    return unescape(text)
 
 
-def _hides(attributes: str) -> bool:
-    """Whether an attribute of its own hides the element: hidden, aria-hidden="true", or display: none in style."""
-    if not _HIDE.search(attributes):  # no such word anywhere
-        return False
+def _marked(attributes: str, inner: bool) -> tuple[bool, bool, bool]:
+    """What an element's own attributes say: (furniture name, comment name, hidden). ``inner``: names of furniture don't count."""
+    furniture = comment = hidden = False
+    if not _MARKS.search(attributes):
+        return furniture, comment, hidden
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").strip().lower()
-        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and [x.lower() for x in _DISPLAY.findall(unescape(value))][-1:] == ["none"]:
-            return True
-    return False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = set(_PART.findall(_CAMEL.sub(" ", token).lower()))
+                if parts and parts <= FURNITURE | COMMENTS | BESIDE:
+                    comment = comment or not parts.isdisjoint(COMMENTS)
+                    furniture = furniture or not (inner or parts.isdisjoint(FURNITURE))
+        elif name == "hidden":
+            hidden = hidden or value.strip().lower() != "false"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or [x.lower() for x in _DISPLAY.findall(unescape(value))][-1:] == ["none"]
+    return furniture, comment, hidden
 
 
-def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
-    """(text, words, words in links, marks) of each flat text block; marks are in region, furniture name, in main, heading."""
+def blocks(html: str) -> list[tuple[str, tuple]]:
+    """(text, (words, words in links, region, furniture name, comment name, in the article, heading)) of each flat text block."""
     out: list = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, in region, furniture, in main, hidden
-    region = furniture = main = hidden = False
+    nothing = (False,) * 5
+    stack: list[tuple] = []  # tag, region, furniture, comment, main, hidden
+    open_tags: Counter = Counter()
+    region = furniture = comment = main = hidden = False
     text: list[str] = []
-    in_links, heading, at, end = [], False, 0, len(html)
+    in_links, heading, at, end, links = [], False, 0, len(html), 0
 
     def flush() -> None:
         nonlocal text, in_links, heading
         if text:
-            joined = " ".join("".join(text).split())
-            if joined:
-                linked = len("".join(in_links).split())
-                out.append((joined, len(joined.split(" ")), linked, (region, furniture, main, heading)))
+            words = "".join(text).split()
+            if words:
+                out.append((" ".join(words), (len(words), len("".join(in_links).split()), region, furniture, comment, main, heading)))
             text, in_links = [], []
         heading = False
 
-    links = 0
+    def pop() -> str:
+        nonlocal region, furniture, comment, main, hidden
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        region, furniture, comment, main, hidden = stack[-1][1:] if stack else nothing
+        return tag
+
     while at < end:
         m = _TAG.search(html, at)
         piece = html[at : m.start() if m else end]
         if piece and not hidden:
-            piece = unescape(piece)
+            piece = _decoded(piece)
             text.append(piece)
             if links:
                 in_links.append(piece + " ")
@@ -158,7 +199,7 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), m[3]
         if tag in BLOCKS:
             flush()
         elif tag == "br" and not hidden:
@@ -166,32 +207,30 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
         if m[1]:
             if tag == "a":
                 links = 0
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if open_tags[tag] > 0:
+                while pop() != tag:
                     pass
-                region, furniture, main, hidden = stack[-1][1:] if stack else (False,) * 4
             continue
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "rect", "circle", "line"):
+        if tag in VOID or attributes.endswith("/") and tag in ("path", "rect", "circle", "line"):
             continue
         if tag == "a":
             links = 1
             continue
         if tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            close = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
             at = close.end() if close else end
             continue
         if tag in CLOSES:
             while stack and stack[-1][0] in CLOSES[tag]:
-                stack.pop()
-            region, furniture, main, hidden = stack[-1][1:] if stack else (False,) * 4
-        if tag in BLOCKS or tag in HIDDEN or m[3]:
-            # a header inside the article is the article's own
-            region = region or tag in REGIONS and not (main and tag == "header")
-            if m[3] and not furniture and tag not in ("html", "body"):
-                furniture = _furniture(m[3], COMMENTS if tag in ("article", "main") else _INNER if main else FURNITURE)
-            main = main or tag in ("article", "main")
-            hidden = hidden or tag in HIDDEN or bool(m[3]) and _hides(m[3])
-        stack.append((tag, region, furniture, main, hidden))
+                pop()
+        # a header inside the article is the article's own
+        region = region or tag in REGIONS and not (main and tag == "header")
+        if attributes:
+            own = _marked(attributes, tag in ("article", "main", "html", "body"))
+            furniture, comment, hidden = furniture or own[0], comment or own[1] and tag not in ("html", "body"), hidden or own[2]
+        main, hidden = main or tag in ("article", "main"), hidden or tag in HIDDEN
+        stack.append((tag, region, furniture, comment, main, hidden))
+        open_tags[tag] += 1
         heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
     flush()
     return out
@@ -199,11 +238,7 @@ def blocks(html: str) -> list[tuple[str, int, int, tuple]]:
 
 def main_text(html: str | None, tree) -> str:
     found = blocks(html or "")
-    if not found:
-        return ""
-    shape = [(0, 0.0), *((words, linked / words) for _, words, linked, _ in found), (0, 0.0)]
-    keep = [b[0] for k, b in enumerate(found) if _is_content(tree, (*shape[k + 1], *shape[k], *shape[k + 2], *b[3]))]
-    return "\n".join(keep)
+    return "\n".join(text for (text, _), row in zip(found, _rows([shape for _, shape in found])) if _is_content(tree, row))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
@@ -215,7 +250,7 @@ def _extract(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch
 def extract(pages: DataFrame, table=LABELLED) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     tree, kinds = train(table), {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return pages.select("page_id", "url", "html").mapInArrow(lambda b: _extract(b, tree), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", "html"), lambda b: _extract(b, tree), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op5(pages: DataFrame) -> DataFrame:

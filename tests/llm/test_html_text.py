@@ -39,6 +39,42 @@ def test_only_hidden_elements_are_hidden(html, text):
     assert H.main_text(html, TREE) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><p class='promoted'>{LONG}<div class='ad-hoc-queries'>{LONG}</div><div class='share-price'>Up</div><section class='notification-systems'>Short</section></article>", f"{LONG}\n{LONG}\nUp\nShort"),
+        (f"<div class=top><a href=/>Home</a></div><div><a href=/n>News</a></div><div>All the news</div><div><a href=/s>Sport</a></div><h1>A title of words</h1><div>{LONG}</div><div>{LONG} {LONG}</div><div>Short one</div><div>{LONG}</div>", f"A title of words\n{LONG}\n{LONG} {LONG}\nShort one\n{LONG}"),
+        (f"<div>cheap deals</div><main><h1>T</h1><p>{LONG}</p><section class='user-feedback'><p>{LONG}</p></section></main><div>more deals</div>", f"T\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=1>One</a><li><a href=2>And two</a><li><a href=3>Three</a></ul></article>", LONG),
+        (f"<article><p>{LONG}</p><p><a href=1>A link</a></p><p>{LONG}</p></article>", f"{LONG}\nA link\n{LONG}"),
+        ("<article><p title=don't>a<p title = \"b>c\" class='x'>d</></ x><p>e</article>", "a\nd\ne"),
+        ("<article><p>a &#65; &#x41; &#99999999999; &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;</article>", "a A A \ufffd \ufffd A"),
+        ("<article><p>a<p title='never closed>b<p>c</article>", "a"),
+        ("<article><p>a<!-- b <p>c", "a"),
+    ],
+)
+def test_counts_and_densities_decide_and_damaged_tags_are_read(html, text):
+    assert H.main_text(html, TREE) == text
+
+
+def splits(tree):
+    return set() if isinstance(tree, int) else {H.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3])
+
+
+def test_the_tree_looks_at_neighbours():
+    assert {"words", "link density"} <= splits(TREE)
+    assert splits(TREE) & {"words before", "words after"} and splits(TREE) & {"link density before", "link density after"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "</", "<aaa", "<p x='", '<p x="', "<b>", "<b></i>", "<!--", "<script>", "&#1", "&amp", "<p =", "<div class=a ", " = ", "<p a  ", "</a <"])
+def test_time_follows_length(piece):
+    import time
+
+    began = time.process_time()
+    H.main_text("<article>text " + piece * (1_000_000 // len(piece)), TREE)
+    assert time.process_time() - began < 6
+
+
 def test_query_on_pages(spark, sf_dir):
     import re
     from html import unescape
