@@ -1,12 +1,13 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 Rotations that make the binary codes of the vectors balanced and close to the vectors are learned by
-iterative quantisation on a bounded sample. Every vector is coded; each code is cut into chunks, and
-each chunk is the key of one table. Vectors that agree on label and on the key of some table are
-compared by their original components in double precision. A pair is counted in the first table that
-finds it, so nothing needs to be matched again, and each bucket hands on counts and a spanning forest
-of its links, never its pairs. Buckets of more than BLOCK vectors are compared block by block, as
-separate tasks.
+iterative quantisation on a bounded sample. Equal vectors of a label become one, with a weight. Every
+vector is coded; each code is cut into chunks, and each chunk is the key of one table. The index has
+keys and row numbers only; vectors join it for the keys that several have. Vectors that agree on label
+and on the key of some table are compared by their original components in double precision. A pair is
+counted in the first table that finds it, so nothing needs to be matched again, and each bucket hands on
+counts and a spanning forest of its links, never its pairs. Buckets of more than BLOCK vectors are
+compared block by block, as separate tasks.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, and neither do rows with a null label or id; vectors of different lengths don't link;
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 from .components import components
 
 THRESHOLD = 0.98
@@ -71,47 +72,30 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), values
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], turns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table: label, dim, slot (table), key, spread, id, keys of all tables, vector."""
+def _coded(batches: Iterator[pa.RecordBatch], turns: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """label, dim, id, keys of all tables, vector."""
     for batch in batches:
         rows, values = _units(batch.column("embedding"))
         for dim in sorted({len(v) for v in values}):
             own = [k for k, v in enumerate(values) if len(v) == dim]
-            unit, at = np.stack([values[k] for k in own]), rows[own]
+            unit, at = np.stack([values[k] for k in own]), pa.array(rows[own])
             keys = keys_of(unit, turns[dim] if dim in turns else learn(np.zeros((0, dim))))
-            n, tables = keys.shape
-            each = pa.array(np.repeat(np.arange(n), tables))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("label").take(pa.array(np.repeat(at, tables))),
-                    pa.array(np.full(n * tables, dim, np.int32)),
-                    pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
-                    pa.array(keys.ravel()),
-                    batch.column("vec_id").take(pa.array(np.repeat(at, tables))),
-                    pa.array([keys[k].tobytes() for k in range(n)], pa.binary()).take(each),
-                    pa.array([unit[k].tobytes() for k in range(n)], pa.binary()).take(each),
-                ],
-                ["label", "dim", "slot", "key", "vec_id", "keys", "unit"],
-            )
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+            columns = [batch.column("label").take(at), pa.array(np.full(len(at), dim, np.int32)), batch.column("vec_id").take(at), flat, pa.array([x.tobytes() for x in unit], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "vec_id", "keys", "unit"])
 
 
 def _compare(group: pa.Table, threshold: float) -> pa.Table:
     """Links within one block, or between two: per vector the number of links that this table finds first, and a neighbour that keeps components together."""
     slot, two = group.column("slot")[0].as_py(), group.column("left")[0].as_py() != group.column("right")[0].as_py()
-    side, ids = group.column("side").to_numpy(), group.column("vec_id").to_numpy()
+    side, ids, weight = (group.column(c).to_numpy() for c in ("side", "vec_id", "weight"))
     row = group.column("row_id").to_numpy()
     units = np.stack([np.frombuffer(x, np.float64) for x in group.column("unit").to_pylist()])
-    keys = np.stack([np.frombuffer(x, np.int64) for x in group.column("keys").to_pylist()])
+    keys = np.stack([np.array(x) for x in group.column("keys").to_pylist()])
     a = np.flatnonzero(side == 0) if two else np.arange(len(ids))
     b = np.flatnonzero(side == 1) if two else a
     counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
     for i in range(0, len(a), 512):
         part = a[i : i + 512]
         near = units[part] @ units[b].T >= threshold
@@ -122,14 +106,17 @@ def _compare(group: pa.Table, threshold: float) -> pa.Table:
         if slot:  # found by an earlier table already
             fresh = ~(keys[x][:, :slot] == keys[y][:, :slot]).any(axis=1)
             x, y = x[fresh], y[fresh]
-        np.add.at(counts, x, 1)
-        np.add.at(counts, y, 1)
-        for p, q in zip(x.tolist(), y.tolist()):
-            p, q = top(p), top(q)
-            if p != q:
-                root[max(p, q)] = min(p, q)
+        np.add.at(counts, x, weight[y])
+        np.add.at(counts, y, weight[x])
+        while (root[x] != root[y]).any():  # each end takes the smaller label, then labels of labels
+            least = np.minimum(root[x], root[y])
+            np.minimum.at(root, root[x], least)
+            np.minimum.at(root, root[y], least)
+            root = root[root]
+    while (root[root] != root).any():
+        root = root[root]
     has = np.flatnonzero(counts)
-    return pa.table({"row_id": row[has], "vec_id": ids[has], "n_links": counts[has], "near": ids[[top(k) for k in has]] if len(has) else ids[:0]})
+    return pa.table({"row_id": row[has], "vec_id": ids[has], "n_links": counts[has], "near": ids[root[has]]})
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, rotations: int = ROTATIONS) -> DataFrame:
@@ -140,21 +127,29 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPL
     values = _units(fit.column("embedding").combine_chunks())[1] if len(fit) else []
     turns = {dim: learn(np.stack([v for v in values if len(v) == dim]), rotations) for dim in {len(v) for v in values}}
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    tagged = usable.select(F.col("label"), F.struct("vec_id", "row_id").alias("vec_id"), "embedding")
-    index = cut(tagged.mapInArrow(
-        lambda b: _indexed(b, turns), f"label {kinds['label']}, dim int, slot int, key long, vec_id struct<vec_id: {kinds['vec_id']}, row_id: long>, keys binary, unit binary"
-    ))
+    tagged = usable.select("label", F.struct("vec_id", "row_id").alias("vec_id"), "embedding")
+    kind = f"label {kinds['label']}, dim int, vec_id struct<vec_id: {kinds['vec_id']}, row_id: long>, keys array<long>, unit binary"
+    coded = map_arrow(tagged, lambda b: _coded(b, turns), kind)
+    coded = cut(coded.select("label", "dim", "vec_id.vec_id", "vec_id.row_id", "keys", "unit", F.sha2("unit", 256).alias("digest")))
+    same = cut(coded.groupBy("label", "dim", "digest").agg(F.min(F.struct("vec_id", "row_id")).alias("first"), F.count("*").alias("weight")))
+    firsts = same.select(F.col("first.row_id").alias("row_id"), "weight")
+    index = coded.select("label", "dim", "row_id", F.posexplode("keys").alias("slot", "key")).join(firsts, "row_id")
     bucket = ["label", "dim", "slot", "key"]
+    index = cut(index)
     sizes = index.groupBy(*bucket).count().where("count > 1").select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = index.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("vec_id.row_id"), F.col("blocks")).cast("int"))
+    placed = index.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("*", other).select(
-        *bucket, "keys", "unit", F.col("vec_id.vec_id").alias("vec_id"), F.col("vec_id.row_id").alias("row_id"),
+    dealt = placed.join(coded.select("row_id", "vec_id", "keys", "unit"), "row_id").select("*", other).select(
+        *bucket, "keys", "unit", "vec_id", "row_id", "weight",
         F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), (F.col("block") > F.col("other")).cast("int").alias("side"),
     )
     found = cut(dealt.groupBy(*bucket, "left", "right").applyInArrow(lambda g: _compare(g, threshold), f"row_id long, vec_id {kinds['vec_id']}, n_links long, near {kinds['vec_id']}"))
-    counts = found.groupBy("row_id").agg(F.sum("n_links").alias("n_links"))
-    labels = components(found.where("vec_id <> near").select(F.col("vec_id").alias("a"), F.col("near").alias("b")))
+    between = found.groupBy("row_id").agg(F.sum("n_links").alias("n_links"))
+    of_class = same.join(between, same["first.row_id"] == between["row_id"], "left").select("label", "dim", "digest", "first", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    members = coded.select("label", "dim", "digest", "vec_id", "row_id").join(of_class, ["label", "dim", "digest"])
+    counts = members.select("row_id", "n_links")
+    ways = found.where("vec_id <> near").select(F.col("vec_id").alias("a"), F.col("near").alias("b"))
+    labels = components(ways.unionByName(members.where("vec_id <> first.vec_id").select(F.col("vec_id").alias("a"), F.col("first.vec_id").alias("b"))))
     joined = rows.select("vec_id", "row_id").join(counts, "row_id", "left").join(labels, F.col("vec_id") == F.col("id"), "left")
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
