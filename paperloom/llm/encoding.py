@@ -5,7 +5,7 @@ line ends, and between a run of Latin letters and the punctuation that ends a wo
 those of the whole text. Distinct runs of letters go to the library many at a time, as one text. Texts
 with anything that makes the cuts unsure (rare white space, a special token's string) go to it whole.
 Cutting, finding distinct pieces and putting ids together are Arrow and numpy calls over a step of
-texts. From step to step only runs are remembered, and no more than REMEMBERED of them, so memory
+texts. From step to step only short parts are remembered, and about REMEMBERED of them, so memory
 doesn't follow the data.
 """
 
@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from .hashing import chunks
 
-#: Bytes of texts that are encoded together; pieces that the library gets at once; runs after which all are forgotten.
-STEP, AT_ONCE, REMEMBERED = 4 << 20, 4_000, 400_000
+#: Bytes of texts that are encoded together; parts that the library gets at once; parts after which all are forgotten; bytes of a part that is remembered.
+STEP, AT_ONCE, REMEMBERED, LONGEST = 4 << 20, 4_000, 400_000, 64
 #: Texts that go to the library whole: rare white space, and what looks like a special token.
 _WHOLE = r"<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Punctuation that may end a word.
@@ -56,26 +56,19 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
-        self.run_ids, self.run_size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of texts that the library gets one by one."""
-        found = self._library(texts)
+        found = [x.ids for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _runs(self, runs: list[str]) -> np.ndarray:
-        """Numbers of distinct runs of letters, each after a blank unless blanks are dropped; new ones go to the library."""
-        if len(self.codes) > REMEMBERED:
-            self._forget()
-        new = [r for r in runs if r not in self.codes]
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        flat, sizes = [self.run_ids], [self.run_size]
+    def _joined(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters, each after a blank unless blanks are dropped, as one text at a time."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         self.tokenizer.normalizer = None  # runs are lower case already where it would make them so, and nothing else in them changes
-        for k in range(0, len(new), AT_ONCE):
-            some = new[k : k + AT_ONCE]
+        for k in range(0, len(runs), AT_ONCE):
+            some = runs[k : k + AT_ONCE]
             ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(self.parts[ids])
             edges = np.r_[0, marks + 1] if self.drops_space else np.r_[marks, len(ids)]
@@ -83,33 +76,39 @@ class Encoder:
             flat.append(ids)
             sizes.append(size)
         self.tokenizer.normalizer = self.normalizer
-        self.run_ids, self.run_size = np.concatenate(flat), np.concatenate(sizes)
-        return np.fromiter(map(self.codes.__getitem__, runs), np.int64, len(runs))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _remembered(self, parts: list[str], encode) -> np.ndarray:
+        """Numbers of distinct parts; ``encode`` gets the new ones."""
+        new = [p for p in parts if p not in self.codes]
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+        ids, size = encode(new)
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        return np.fromiter(map(self.codes.__getitem__, parts), np.int64, len(parts))
 
     def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where those of each distinct piece begin, how many it has)."""
+        """(ids, where those of each distinct piece begin, how many it has). A piece has two parts: run and tail, or itself and nothing."""
+        if len(self.codes) > REMEMBERED:
+            self._forget()
         bare = pc.ascii_ltrim(pieces, characters=" \n") if self.drops_space else pieces
         run = pc.ascii_rtrim(bare, characters=_TAIL)
         split = pc.match_substring_regex(run, f"^{'' if self.drops_space else ' '}{_LETTERS}$").to_numpy(zero_copy_only=False)
-        mine = pa.array(split)
+        long = ~split & (pc.binary_length(pieces).to_numpy() > LONGEST)
+        mine, short = pa.array(split), ~split & ~long
         run, bare = run.filter(mine), bare.filter(mine)
         tail = _after(bare, pc.binary_length(run).to_numpy()).dictionary_encode()
         runs = (pc.utf8_lower(run) if self.drops_space else run).dictionary_encode()
-        run_code = self._runs(runs.dictionary.to_pylist())
-        tail_ids, tail_size = self._each(tail.dictionary.to_pylist())
-        other_ids, other_size = self._each(pieces.filter(pa.array(~split)).to_pylist())
-        # ids of the split pieces, run and tail in turn, then those of the others
-        ids, size = np.concatenate([self.run_ids, tail_ids]), np.concatenate([self.run_size, tail_size])
-        code = np.stack([run_code[runs.indices.to_numpy()], tail.indices.to_numpy() + len(self.run_size)], axis=1).ravel()
-        first = np.cumsum(size) - size
-        joined = _gather(ids, first[code], size[code])
-        out = np.zeros(len(pieces), np.int64)
-        out[split] = size[code].reshape(-1, 2).sum(axis=1)
-        out[~split] = other_size
-        begin = np.zeros(len(pieces), np.int64)
-        begin[split] = np.cumsum(out[split]) - out[split]
-        begin[~split] = len(joined) + np.cumsum(other_size) - other_size
-        return np.concatenate([joined, other_ids]), begin, out
+        code = np.zeros((len(pieces), 2), np.int64)
+        code[:, 1] = self._remembered([""], self._each)
+        code[split, 0] = self._remembered(runs.dictionary.to_pylist(), self._joined)[runs.indices.to_numpy()]
+        code[split, 1] = self._remembered(tail.dictionary.to_pylist(), self._each)[tail.indices.to_numpy()]
+        code[short, 0] = self._remembered(pieces.filter(pa.array(short)).to_pylist(), self._each)
+        code[long, 0] = len(self.size) + np.arange(long.sum())
+        long_ids, long_size = self._each(pieces.filter(pa.array(long)).to_pylist())
+        ids, size = np.concatenate([self.ids, long_ids]), np.concatenate([self.size, long_size])
+        each = size[code]
+        total = each.sum(axis=1)
+        return _gather(ids, (np.cumsum(size) - size)[code.ravel()], each.ravel()), np.cumsum(total) - total, total
 
     def _step(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of one step, the end id after each."""
