@@ -4,30 +4,28 @@ from __future__ import annotations
 
 import re
 
-#: The fourteen standard fonts, and other names that stand for them.
-STANDARD = (
-    "Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique", "Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique",
-    "Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic", "Symbol", "ZapfDingbats",
-)
-_STYLES = {"Bold": "Bold", "Italic": "Italic", "BoldItalic": "BoldItalic"}
+#: Each standard font and the names that files give it.
+NAMES = {
+    "Courier": ("Courier", "CourierNew", "CourierNewPSMT"),
+    "Courier-Bold": ("Courier-Bold", "CourierNew,Bold", "CourierNewPS-BoldMT"),
+    "Courier-Oblique": ("Courier-Oblique", "CourierNew,Italic", "CourierNewPS-ItalicMT"),
+    "Courier-BoldOblique": ("Courier-BoldOblique", "CourierNew,BoldItalic", "CourierNewPS-BoldItalicMT"),
+    "Helvetica": ("Helvetica", "Arial", "ArialMT"),
+    "Helvetica-Bold": ("Helvetica-Bold", "Arial,Bold", "Arial-BoldMT"),
+    "Helvetica-Oblique": ("Helvetica-Oblique", "Arial,Italic", "Arial-ItalicMT"),
+    "Helvetica-BoldOblique": ("Helvetica-BoldOblique", "Arial,BoldItalic", "Arial-BoldItalicMT"),
+    "Times-Roman": ("Times-Roman", "TimesNewRoman", "TimesNewRomanPSMT"),
+    "Times-Bold": ("Times-Bold", "TimesNewRoman,Bold", "TimesNewRomanPS-BoldMT"),
+    "Times-Italic": ("Times-Italic", "TimesNewRoman,Italic", "TimesNewRomanPS-ItalicMT"),
+    "Times-BoldItalic": ("Times-BoldItalic", "TimesNewRoman,BoldItalic", "TimesNewRomanPS-BoldItalicMT"),
+    "Symbol": ("Symbol",),
+    "ZapfDingbats": ("ZapfDingbats",),
+}
 
 
 def aliases() -> dict[str, str]:
-    """Alias to standard name: the fonts themselves, and the CourierNew, Arial and TimesNewRoman families in their three spellings of styles."""
-    out = {name: name for name in STANDARD}
-    for family, regular, slant in (("CourierNew", "Courier", "Oblique"), ("Arial", "Helvetica", "Oblique"), ("TimesNewRoman", "Times-Roman", "Italic")):
-        stem = regular.removesuffix("-Roman")
-        for style in _STYLES:
-            target = f"{stem}-{style.replace('Italic', slant)}"
-            out |= {f"{family},{style}": target, f"{family}-{style}": target}
-        out[family] = regular
-        for suffix in ("PSMT", "MT", "PS"):
-            out[family + suffix] = regular
-    for style in _STYLES:
-        out[f"Arial-{style}MT"] = f"Helvetica-{style.replace('Italic', 'Oblique')}"
-        out[f"TimesNewRomanPS-{style}MT"] = f"Times-{style}"
-        out[f"CourierNewPS-{style}MT"] = f"Courier-{style.replace('Italic', 'Oblique')}"
-    return out
+    """Name to standard name."""
+    return {name: standard for standard, names in NAMES.items() for name in names}
 
 
 _BLOCK = re.compile(r"begin(bfchar|bfrange)(.*?)end\1", re.S)

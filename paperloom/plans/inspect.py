@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import has_subset_prefix, without_subset_prefix, xmp_fields
 from ..operators import audit, graph
 from ..operators.classify import ladder
-from ..sources.pdf import Tables, name_of, pages, ref_of
+from ..sources.pdf import Tables, name_of, page_resources, pages, ref_of
 
 #: Categories in order, and file keys of font descriptors by priority.
 CATEGORIES = ("Fonts", "Images", "Page Content", "Metadata", "Document Structure", "Other Data")
@@ -124,13 +124,18 @@ def structure_stats(t: Tables) -> DataFrame:
     return tree.join(kinds, ["file_id", "node"]).groupBy("file_id").agg(F.count("*").alias("elements"), F.array_sort(F.collect_set("s")).alias("types"), F.max("depth").alias("max_depth"))
 
 
-def integrity_warnings(t: Tables, page_table: DataFrame | None = None) -> DataFrame:
-    """References from pages to contents, fonts, XObjects and graphics states that lead nowhere."""
-    of_page = (pages(t) if page_table is None else page_table).select("file_id", "page_no", F.col("obj_num").alias("src_num"))
-    key = F.when(F.col("key_path")[0] == "Resources", F.get("key_path", F.lit(1))).otherwise(F.col("key_path")[0])
-    used = t.refs.withColumn("resource", key).where(F.col("resource").isin("Contents", "XObject", "Font", "ExtGState")).join(of_page, ["file_id", "src_num"])
+#: Kinds of resources that pages must find; and all kinds that a pass may not lose.
+NEEDED, LISTED = ("XObject", "Font", "ExtGState"), ("Font", "XObject", "ExtGState", "ColorSpace", "Pattern", "Shading")
+
+
+def integrity_warnings(t: Tables, page_table: DataFrame | None = None, kinds: tuple[str, ...] = NEEDED) -> DataFrame:
+    """file_id, page_no, resource, dst_num: references from pages to contents and resources (inline, indirect or inherited) that lead nowhere."""
+    page_table = pages(t) if page_table is None else page_table
+    of_page = page_table.select("file_id", "page_no", F.col("obj_num").alias("src_num"))
+    contents = t.refs.where(F.col("key_path")[0] == "Contents").join(of_page, ["file_id", "src_num"]).select("file_id", "page_no", F.lit("Contents").alias("resource"), "dst_num")
+    used = page_resources(t, page_table).where(F.col("resource").isin("Resources", *kinds)).select("file_id", "page_no", "resource", "dst_num")
     there = t.objects.select("file_id", F.col("obj_num").alias("dst_num"))
-    return graph.dangling(used.select("file_id", "page_no", "resource", "dst_num"), there, ["file_id", "dst_num"])
+    return graph.dangling(contents.unionByName(used).distinct(), there, ["file_id", "dst_num"])
 
 
 def subset_fonts(t: Tables) -> DataFrame:

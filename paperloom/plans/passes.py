@@ -23,7 +23,7 @@ from ..operators import dedup, graph
 from ..operators.classify import ladder
 from ..options import Options
 from ..session import cut
-from ..sources.pdf import Tables, name_of, pages, ref_of
+from ..sources.pdf import Tables, name_of, page_resources, pages, ref_of
 from .inspect import FONT_FILES, content_streams, font_files, integrity_warnings, traits
 
 #: Private entries that viewers don't need, and the smallest image and font worth the work.
@@ -140,8 +140,9 @@ def image_plan(t: Tables, options: Options, page_table: DataFrame | None = None)
             (decoded < SMALL, "smallImage"),
         ]
     )
-    xobjects = t.refs.where((F.col("key_path")[0] == "Resources") & (F.get("key_path", F.lit(1)) == "XObject"))
-    shown = xobjects.select("file_id", F.col("src_num").alias("page"), F.col("dst_num").alias("obj_num")).join((pages(t) if page_table is None else page_table).select("file_id", F.col("obj_num").alias("page"), "page_no", F.col("width").alias("pw"), F.col("height").alias("ph")), ["file_id", "page"])
+    page_table = pages(t) if page_table is None else page_table
+    boxes = page_table.select("file_id", "page_no", F.col("width").alias("pw"), F.col("height").alias("ph"))
+    shown = page_resources(t, page_table).where("resource = 'XObject' and name is not null").select("file_id", "page_no", F.col("dst_num").alias("obj_num")).join(boxes, ["file_id", "page_no"])
     first = shown.groupBy("file_id", "obj_num").agg(F.min_by(F.struct("pw", "ph"), "page_no").alias("box"))
     found = images.join(first, ["file_id", "obj_num"], "left").select("file_id", "obj_num", reason.alias("reason"), width.alias("width"), height.alias("height"), "box")
     dpi = F.least(F.col("width") * 72 / F.col("box.pw"), F.col("height") * 72 / F.col("box.ph"))

@@ -125,7 +125,7 @@ class Tables:
 def name_of(key: str, column: str = "dict"):
     """A name entry of the JSON dictionary, without its slash; null for other types."""
     value = F.get_json_object(column, f"$.{key}")
-    return F.when(value.startswith("/"), F.substring(value, 2, 1000))
+    return F.when(value.startswith("/"), value.substr(F.lit(2), F.length(value)))
 
 
 def ref_of(key: str, column: str = "dict"):
@@ -152,24 +152,49 @@ def tables_of(parsed: DataFrame) -> Tables:
     return Tables(objects, refs, roots, parsed.where("kind = 'error'").select("file_id", "error"))
 
 
-def pages(t: Tables, max_depth: int = 50) -> DataFrame:
-    """file_id, page_no (from 1), obj_num, gen_num, width, height, in page tree order.
+def pages(t: Tables) -> DataFrame:
+    """file_id, page_no (from 1), obj_num, gen_num, width, height, resources, in page tree order.
 
-    Walks /Kids level by level with the path of positions as the order; boxes are inherited.
+    Walks /Kids level by level with the path of positions as the order, as deep as the tree is; a kid
+    that is its own ancestor is left out. Boxes and resources are inherited: ``resources`` is the number
+    of the nearest node with /Resources.
     """
-    nodes = t.objects.where("type in ('Pages', 'Page')").select("file_id", "obj_num", "gen_num", "type", F.get_json_object("dict", "$.MediaBox").alias("box"))
+    entry = lambda key: F.get_json_object("dict", f"$.{key}")
+    nodes = t.objects.where("type in ('Pages', 'Page')").select("file_id", "obj_num", "gen_num", "type", entry("MediaBox").alias("box"), entry("Resources").isNotNull().alias("own"))
     kids = t.refs.where((F.col("key_path")[0] == "Kids") & (F.size("key_path") == 2)).select("file_id", F.col("src_num").alias("obj_num"), F.col("key_path")[1].cast("int").alias("place"), F.col("dst_num").alias("kid"))
     catalog = t.roots.where("key = 'Root'").join(t.objects.withColumnRenamed("obj_num", "dst_num"), ["file_id", "dst_num"])
-    level = catalog.select("file_id", ref_of("Pages").alias("obj_num"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("inherited"))
+    none = F.array().cast("array<int>")
+    level = catalog.select("file_id", ref_of("Pages").alias("obj_num"), none.alias("path"), none.alias("above"), F.lit(None).cast("string").alias("inherited"), F.lit(None).cast("int").alias("holder"))
     found = None
-    for _ in range(max_depth):
-        here = level.join(nodes, ["file_id", "obj_num"]).withColumn("box", F.coalesce("box", "inherited"))
-        leaves = here.where("type = 'Page'").select("file_id", "obj_num", "gen_num", "path", "box")
+    while True:
+        here = level.join(nodes, ["file_id", "obj_num"]).withColumn("box", F.coalesce("box", "inherited")).withColumn("holder", F.when(F.col("own"), F.col("obj_num")).otherwise(F.col("holder")))
+        leaves = here.where("type = 'Page'").select("file_id", "obj_num", "gen_num", "path", "box", "holder")
         found = leaves if found is None else found.unionByName(leaves)
-        inner = here.where("type = 'Pages'")
-        level = cut(inner.join(kids, ["file_id", "obj_num"]).select("file_id", F.col("kid").alias("obj_num"), F.concat("path", F.array("place")).alias("path"), F.col("box").alias("inherited")))
+        inner = here.where("type = 'Pages'").withColumn("above", F.array_append("above", F.col("obj_num")))
+        level = inner.join(kids, ["file_id", "obj_num"]).where(~F.array_contains("above", F.col("kid")))
+        level = cut(level.select("file_id", F.col("kid").alias("obj_num"), F.array_append("path", F.col("place")).alias("path"), "above", F.col("box").alias("inherited"), "holder"))
         if level.isEmpty():
             break
     box = F.from_json("box", "array<double>")
     order = Window.partitionBy("file_id").orderBy("path")
-    return found.select("file_id", F.row_number().over(order).alias("page_no"), "obj_num", "gen_num", F.abs(box[2] - box[0]).alias("width"), F.abs(box[3] - box[1]).alias("height"))
+    return found.select("file_id", F.row_number().over(order).alias("page_no"), "obj_num", "gen_num", F.abs(box[2] - box[0]).alias("width"), F.abs(box[3] - box[1]).alias("height"), F.col("holder").alias("resources"))
+
+
+def page_resources(t: Tables, page_table: DataFrame) -> DataFrame:
+    """file_id, page_no, page, resource (Font, XObject, ...), name, dst_num: what pages use through /Resources, inline, behind a reference, or inherited.
+
+    A resource dictionary, or one of its kinds, that is a reference itself is listed too, without a name.
+    """
+    page = page_table.select("file_id", "page_no", F.col("obj_num").alias("page"), F.col("resources").alias("src_num"))
+    refs = t.refs.select("file_id", "src_num", "key_path", "dst_num")
+    rest = lambda n: F.slice("key_path", n + 1, F.greatest(F.size("key_path") - n, F.lit(0))).alias("rest")
+    follow = lambda df, *kept: df.select("file_id", "page_no", "page", *kept, F.col("dst_num").alias("src_num")).join(refs, ["file_id", "src_num"])
+    held = page.join(refs.where(F.col("key_path")[0] == "Resources"), ["file_id", "src_num"]).select("file_id", "page_no", "page", rest(1), "dst_num")
+    whole = held.where(F.size("rest") == 0)
+    inside = held.where(F.size("rest") > 0).unionByName(follow(whole).select("file_id", "page_no", "page", rest(0), "dst_num"))
+    kind = F.get("rest", F.lit(0)).alias("resource")
+    kinds = inside.where(F.size("rest") == 1).select("file_id", "page_no", "page", kind, "dst_num")
+    direct = inside.where(F.size("rest") == 2).select("file_id", "page_no", "page", kind, F.get("rest", F.lit(1)).alias("name"), "dst_num")
+    behind = follow(kinds, "resource").where(F.size("key_path") == 1).select("file_id", "page_no", "page", "resource", F.col("key_path")[0].alias("name"), "dst_num")
+    nameless = whole.select("file_id", "page_no", "page", F.lit("Resources").alias("resource"), "dst_num").unionByName(kinds).withColumn("name", F.lit(None).cast("string"))
+    return direct.unionByName(behind).unionByName(nameless)
