@@ -1,7 +1,13 @@
 import random
+import re
+from collections import Counter
+
+import numpy as np
 
 import corpus_pipeline as C
 from helpers import awkward, docs, empty
+from paperloom.llm import language_id, mixing
+from test_packing import check
 
 
 def run(spark, frame):
@@ -34,14 +40,55 @@ def test_awkward_and_empty_tables(spark):
             assert after.columns == frame.columns
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def without_windows(texts):
+    """Words that are left of each text: those under no window of 13 words that a smaller document has too."""
+    first = {}
+    for d, t in sorted(texts):
+        w = words(t)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    out = {}
+    for d, t in texts:
+        w = words(t)
+        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(13)}
+        out[d] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+def test_each_stage_equals_brute_force(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    (_, start, known), (_, _, single), (_, _, short), (_, _, mix), (_, _, packed) = run(spark, frame)
+    model, keep = language_id.learn(start), set()
+    for r in start.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        if any(c.isalpha() for c in r.text or "") and model.bits(data, np.array([0, len(data)])).min() <= language_id.MAX_BITS * len(data):
+            keep.add(r.doc_id)
+    assert {r.doc_id for r in known.collect()} == keep
+    assert {r.doc_id for r in single.collect()} == survivors([(r.doc_id, r.text) for r in known.collect()])
+    left = without_windows([(r.doc_id, r.text) for r in single.collect()])
+    assert {r.doc_id: words(r.text) for r in short.collect()} == {d: w for d, w in left.items() if w}
+    rows = {r.doc_id: r for r in mixing.op7(short).collect()}
+    copies = Counter(r.doc_id for r in mix.collect())
+    for d, r in rows.items():
+        rate = r.target / r.source_size if r.source_size else 0
+        assert copies[d] in (int(rate), int(rate) + 1) and copies[d] * r.size == r.taken and copies[d] <= 2
+    assert set(copies) <= set(rows)
+    check([(r.doc_id, r.text) for r in mix.collect()], packed.collect(), 4096)
+
+
 def survivors(texts):
     """Smallest id of each component of pairs at 5-word shingles and 0.8, by brute force."""
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for d, w in ((d, t.split()) for d, t in texts)}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for d, w in ((d, words(t.translate(lower))) for d, t in texts)}
     label = {d: d for d in sets}
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+            if a < b and both and 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
                 low, high = sorted((label[a], label[b]))
                 label = {d: low if x == high else x for d, x in label.items()}
     return set(label.values())
