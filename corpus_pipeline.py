@@ -2,6 +2,10 @@
 
 language ID -> one document of each near-duplicate group -> repeated passages removed -> sources mixed
 to their weights -> token ids cut into sequences.
+
+Defined results, of every stage: an empty table gives an empty one; other columns are carried along, whatever
+their names. Null and letterless texts go in the first stage. Rows without a doc_id are never taken for copies
+of others. Repeated rows of a doc_id stay or go together, and are mixed and packed as often as they occur.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ SHINGLE, PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; the others go."""
+    """Documents in a language that the model knows; the others, and texts that are null, empty or without a letter, go."""
     return language_id.of_known_language(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id."""
+    """Of each component of linked documents the one with the smallest id, with all its rows; rows without an id and texts without words stay."""
     return jaccard_join.one_of_each(docs, shingle=SHINGLE, percent=PERCENT)
 
 
@@ -33,12 +37,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, by the size of their texts; a null source is a source of its own, and a null text has size 0."""
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence, with its ids."""
+    """One row per piece of a document in a sequence, with its ids; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
