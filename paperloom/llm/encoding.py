@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ import pyarrow.compute as pc
 from .hashing import chunks
 
 #: Bytes of texts that are encoded together; parts that the library gets at once; parts after which all are forgotten; bytes of a part that is remembered.
-STEP, AT_ONCE, REMEMBERED, LONGEST = 4 << 20, 4_000, 400_000, 64
+STEP, AT_ONCE, REMEMBERED, LONGEST = 4 << 20, 4_000, 300_000, 64
+#: Characters that the library gets at once, or one text: its answers take a hundred bytes an id.
+AT_ONCE_CHARS = 1 << 18
 #: Texts that go to the library whole: rare white space, and what looks like a special token.
 _WHOLE = r"<\||[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Punctuation that may end a word.
@@ -60,8 +63,16 @@ class Encoder:
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of texts that the library gets one by one."""
-        found = [x.ids for k in range(0, len(texts), AT_ONCE) for x in self.tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
-        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        flat, sizes, k = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while k < len(texts):
+            first, held = k, 0
+            while k < len(texts) and k - first < AT_ONCE and held < AT_ONCE_CHARS:
+                held += len(texts[k])
+                k += 1
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[first:k], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _joined(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters, each after a blank unless blanks are dropped, as one text at a time."""
