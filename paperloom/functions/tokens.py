@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pdfvalues import parse
@@ -57,17 +57,26 @@ def tokenise(streams: DataFrame) -> DataFrame:
     return streams.select("file_id", "scope_id", "data").mapInArrow(_tokenised, SCHEMA)
 
 
-def used_codes(token_table: DataFrame) -> DataFrame:
-    """file_id, scope_id, font, code: byte codes shown in each font. The font of a string is the last one set before it."""
-    from pyspark.sql import Window
-
+def shown_strings(token_table: DataFrame) -> DataFrame:
+    """file_id, scope_id, font, str: strings shown, with the last font set before them."""
     order = Window.partitionBy("file_id", "scope_id").orderBy("seq")
     before = order.rowsBetween(Window.unboundedPreceding, 0)
     set_font = F.when((F.lead("op", 2).over(order) == "Tf") & (F.col("kind") == "name"), F.col("name"))
     backwards = Window.partitionBy("file_id", "scope_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     shown = F.last(F.when(F.col("kind") == "operator", F.col("op")), ignorenulls=True).over(backwards)
     marked = token_table.withColumn("font", set_font).withColumn("font", F.last("font", ignorenulls=True).over(before)).withColumn("shown", shown)
-    strings = marked.where((F.col("kind") == "string") & F.col("shown").isin("Tj", "TJ", "'", '"') & F.col("font").isNotNull())
+    return marked.where((F.col("kind") == "string") & F.col("shown").isin("Tj", "TJ", "'", '"') & F.col("font").isNotNull()).select("file_id", "scope_id", "font", "str")
+
+
+def called_forms(token_table: DataFrame) -> DataFrame:
+    """file_id, scope_id, name: names that ``Do`` is applied to."""
+    order = Window.partitionBy("file_id", "scope_id").orderBy("seq")
+    called = (F.lead("op").over(order) == "Do") & (F.col("kind") == "name")
+    return token_table.withColumn("called", called).where("called").select("file_id", "scope_id", "name")
+
+
+def used_codes(token_table: DataFrame) -> DataFrame:
+    """file_id, scope_id, font, code: byte codes shown in each font. The font of a string is the last one set before it."""
     bytes_shown = F.array_distinct(F.regexp_extract_all(F.hex("str"), F.lit(".."), F.lit(0)))
-    codes = strings.select("file_id", "scope_id", "font", F.explode(bytes_shown).alias("digits")).distinct()
+    codes = shown_strings(token_table).select("file_id", "scope_id", "font", F.explode(bytes_shown).alias("digits")).distinct()
     return codes.select("file_id", "scope_id", "font", F.conv("digits", 16, 10).cast("int").alias("code"))
