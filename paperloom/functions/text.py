@@ -48,6 +48,29 @@ def output_name(name: Column, lossy: bool, quality: Column | None, dpi: Column |
     return F.concat(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit("_"), mode, F.lit("_"), F.date_format(day, "yyyyMMdd"), F.lit(".pdf"))
 
 
+def pdf_text(digits: Column) -> Column:
+    """A text string given as hex: UTF-16 or UTF-8 after their marks, else one byte a character; null if empty."""
+    raw = F.unhex(digits)
+    wide = F.decode(F.unhex(F.substring(digits, 5, 2**31 - 1)), "UTF-16BE")
+    marked = F.decode(F.unhex(F.substring(digits, 7, 2**31 - 1)), "UTF-8")
+    low = F.lower(digits)
+    return F.nullif(F.when(low.startswith("feff"), wide).when(low.startswith("efbbbf"), marked).otherwise(F.decode(raw, "ISO-8859-1")), F.lit(""))
+
+
+def pdf_date(text: Column) -> Column:
+    """The moment of ``D:yyyymmddHHmmss+hh'mm'``, of which all but the year may be missing (then its start, in UTC); null for other text."""
+    part = lambda n, default: F.coalesce(F.nullif(F.regexp_extract(text, r"^(?:D:)?(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?", n), F.lit("")), F.lit(default))
+    zone = lambda n: F.regexp_extract(text, r"\d([+-])(\d\d)'?(\d\d)?'?$", n)
+    offset = F.when(zone(1) == "", F.lit("+00:00")).otherwise(F.concat(zone(1), zone(2), F.lit(":"), F.coalesce(F.nullif(zone(3), F.lit("")), F.lit("00"))))
+    stamp = F.concat(part(1, ""), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), offset)
+    return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ssXXX"))
+
+
+def batch_tier(total: Column) -> Column:
+    """``large`` from 50 MB on, ``medium`` from 20 MB on, else null."""
+    return F.when(total >= 50 * 1024 * 1024, "large").when(total >= 20 * 1024 * 1024, "medium")
+
+
 def error_kind(message: Column) -> Column:
     low = F.lower(message)
     return F.when(low.contains("encrypt") | low.contains("password"), "encrypted").when(low.contains("invalid") | low.contains("parse"), "invalid").otherwise("other")

@@ -13,6 +13,7 @@ class Options:
     unembed: bool = True
     subset: bool = False
     keep_conformance_metadata: bool = False
+    check_each_pass: bool = False
 
 
 #: Fixed values.

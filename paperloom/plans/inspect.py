@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_subset_prefix, without_subset_prefix, xmp_fields
+from ..functions.text import has_subset_prefix, pdf_date, pdf_text, without_subset_prefix, xmp_fields
 from ..operators import audit, graph
 from ..operators.classify import ladder
 from ..sources.pdf import Tables, name_of, page_resources, pages, ref_of
@@ -74,8 +74,22 @@ def category_totals(items: DataFrame) -> DataFrame:
     return grid.join(per, ["file_id", "category"], "left").na.fill(0, ["n", "total_size"])
 
 
+#: Text entries of the Info dictionary, and its dates.
+INFO_TEXTS, INFO_DATES = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer"), {"creation_date": "CreationDate", "modification_date": "ModDate"}
+
+
+def document_info(t: Tables, page_table: DataFrame | None = None) -> DataFrame:
+    """file_id, page_count, title, author, subject, keywords, creator, producer, creation_date, modification_date of every file; null for entries that are empty, missing or unreadable."""
+    info = t.roots.where("key = 'Info'").join(t.objects.select("file_id", F.col("obj_num").alias("dst_num"), "dict"), ["file_id", "dst_num"]).select("file_id", "dict")
+    text = lambda key: pdf_text(F.get_json_object("dict", f"$.{key}.s"))
+    fields = info.select("file_id", *[text(k).alias(k.lower()) for k in INFO_TEXTS], *[pdf_date(text(k)).alias(name) for name, k in INFO_DATES.items()])
+    count = (pages(t) if page_table is None else page_table).groupBy("file_id").agg(F.count("*").alias("page_count"))
+    files = t.roots.where("key = 'Root'").select("file_id").distinct()
+    return files.join(count, "file_id", "left").na.fill(0, ["page_count"]).join(fields, "file_id", "left")
+
+
 def traits(t: Tables) -> DataFrame:
-    """file_id with tagging, language, title and conformance traits. Metadata is decoded before it is read."""
+    """file_id with tagging, language, title (of the metadata, else of the Info dictionary) and conformance traits. Metadata is decoded before it is read."""
     from ..functions.codecs import decode_stream
 
     root = t.roots.where("key = 'Root'").select("file_id", F.col("dst_num").alias("obj_num"))
@@ -83,7 +97,8 @@ def traits(t: Tables) -> DataFrame:
     names = F.get_json_object("dict", "$.Filter")
     filters = F.transform(F.filter(F.split(F.regexp_replace(F.coalesce(names, F.lit("")), r'[\[\]"/]', ""), ","), lambda x: x != ""), lambda x: F.trim(x))
     meta = t.objects.where((F.col("type") == "Metadata") & (F.col("kind") == "stream")).select("file_id", F.col("obj_num").alias("meta"), decode_stream("contents", filters)["value"].cast("string").alias("xmp"))
-    both = catalog.join(meta, ["file_id", "meta"], "left")
+    named = t.roots.where("key = 'Info'").join(t.objects.select("file_id", F.col("obj_num").alias("dst_num"), F.col("dict").alias("info")), ["file_id", "dst_num"]).select("file_id", pdf_text(F.get_json_object("info", "$.Title.s")).alias("info_title"))
+    both = catalog.join(meta, ["file_id", "meta"], "left").join(named, "file_id", "left")
     fields = xmp_fields(F.coalesce("xmp", F.lit("")))
     text = lambda key: F.nullif(F.decode(F.unhex(F.get_json_object("dict", f"$.{key}.s")), "UTF-8"), F.lit(""))
     return both.select(
@@ -92,7 +107,7 @@ def traits(t: Tables) -> DataFrame:
         F.coalesce("marked", F.lit("missing")).alias("marked_status"),
         F.get_json_object("dict", "$.StructTreeRoot").isNotNull().alias("has_struct_tree"),
         text("Lang").alias("lang"),
-        fields["title"].alias("title"),
+        F.coalesce(fields["title"], F.col("info_title")).alias("title"),
         fields["pdfa_part"].isNotNull().alias("is_pdf_a"),
         F.concat(fields["pdfa_part"], F.coalesce(fields["pdfa_conformance"], F.lit(""))).alias("pdf_a_level"),
         fields["pdfua_part"].isNotNull().alias("is_pdf_ua"),
@@ -114,6 +129,20 @@ def figure_coverage(t: Tables) -> DataFrame:
     return audit.coverage(figures, F.get_json_object("dict", "$.Alt").isNotNull(), ["file_id"])
 
 
+def audits(t: Tables) -> DataFrame:
+    """A row per file: fonts with and without a /ToUnicode map, images, figures with and without /Alt, and the structure tree. Figures and structure are null without a structure tree."""
+    files = t.roots.where("key = 'Root'").select("file_id").distinct()
+    prefixed = lambda df, name: df.select("file_id", *[F.col(c).alias(f"{name}_{c}") for c in ("total", "with_it", "without_it")])
+    images = t.objects.where("kind = 'stream' and subtype = 'Image'").groupBy("file_id").agg(F.count("*").alias("images"))
+    tagged = traits(t).where("has_struct_tree").select("file_id", F.lit(True).alias("has_struct_tree"))
+    out = files.join(prefixed(to_unicode_coverage(t), "fonts"), "file_id", "left").join(images, "file_id", "left")
+    out = out.na.fill(0, ["fonts_total", "fonts_with_it", "fonts_without_it", "images"]).join(tagged, "file_id", "left")
+    out = out.join(prefixed(figure_coverage(t), "figures"), "file_id", "left").join(structure_stats(t), "file_id", "left")
+    zero = lambda c: F.when(F.col("has_struct_tree"), F.coalesce(c, F.lit(0)))
+    counts = ("figures_total", "figures_with_it", "figures_without_it", "elements", "max_depth")
+    return out.withColumns({c: zero(F.col(c)) for c in counts}).drop("has_struct_tree")
+
+
 def structure_stats(t: Tables) -> DataFrame:
     """file_id, elements, types, max_depth of the structure tree; an element has /S, roots' children are at depth 1."""
     root = t.roots.where("key = 'Root'").select("file_id", F.col("dst_num").alias("obj_num")).join(t.objects, ["file_id", "obj_num"])
@@ -138,5 +167,12 @@ def integrity_warnings(t: Tables, page_table: DataFrame | None = None, kinds: tu
     return graph.dangling(contents.unionByName(used).distinct(), there, ["file_id", "dst_num"])
 
 
+def lossy_hint(totals: DataFrame, sizes: DataFrame, lossy: bool) -> DataFrame:
+    """file_id of files for which the lossy mode is worth a try: it was off, images are over half of the bytes of streams, and less than a tenth was saved. ``sizes``: file_id, original, optimised."""
+    share = totals.groupBy("file_id").agg(F.sum(F.when(F.col("category") == "Images", F.col("total_size")).otherwise(0)).alias("images"), F.sum("total_size").alias("total"))
+    little = F.coalesce(F.try_divide((F.col("original") - F.col("optimised")) * 100, F.col("original")), F.lit(0)) < 10
+    return share.join(sizes, "file_id").where(F.lit(not lossy) & (F.col("images") * 2 > F.col("total")) & little).select("file_id")
+
+
 def subset_fonts(t: Tables) -> DataFrame:
     return t.objects.where("type = 'Font'").where(has_subset_prefix(name_of("BaseFont"))).select("file_id", "obj_num")

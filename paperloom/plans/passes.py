@@ -24,7 +24,7 @@ from ..operators.classify import ladder
 from ..options import Options
 from ..session import cut
 from ..sources.pdf import Tables, name_of, page_resources, pages, ref_of
-from .inspect import FONT_FILES, content_streams, font_files, integrity_warnings, traits
+from .inspect import FONT_FILES, LISTED, content_streams, font_files, integrity_warnings, traits
 
 #: Private entries that viewers don't need, and the smallest image and font worth the work.
 BLOAT = ("PieceInfo", "Thumb", "AIPrivateData1", "AIPrivateData2", "AIPrivateData3", "AIPrivateData4", "AIMetaData", "Photoshop", "IRB")
@@ -232,12 +232,20 @@ PASSES: tuple[tuple[str, Callable], ...] = (
 
 
 def optimize(t: Tables, options: Options = Options()) -> tuple[Tables, DataFrame]:
-    """(tables, pass_stats: file_id, pass_no, pass, counter, n). A pass that fails as a whole raises; one bad object never does."""
+    """(tables, pass_stats: file_id, pass_no, pass, counter, n). A pass that fails as a whole raises; one bad object never does.
+
+    With ``check_each_pass``, ``dangling:<kind>`` counts references from pages to nowhere that a pass brought, for all kinds of resources.
+    """
     stats = None
+    broken = cut(integrity_warnings(t, kinds=LISTED)) if options.check_each_pass else None
     for k, (name, step) in enumerate(PASSES):
         if step is unembed and not options.unembed:
             continue
         t, counters = step(t, options)
+        if broken is not None:
+            now = cut(integrity_warnings(t, kinds=LISTED))
+            new = now.join(broken, now.columns, "left_anti").groupBy("file_id", F.concat(F.lit("dangling:"), F.col("resource")).alias("counter")).agg(F.count("*").alias("n"))
+            broken, counters = now, counters.unionByName(new)
         rows = cut(counters.select("file_id", F.lit(k + 1).alias("pass_no"), F.lit(name).alias("pass"), "counter", "n"))
         stats = rows if stats is None else stats.unionByName(rows)
     return t, stats

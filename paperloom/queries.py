@@ -374,17 +374,18 @@ def escaped_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(T.escaped(F.substring("text", 1, 40)), short).alias("label"))
 
 
-def _as_files(spark, d):
-    """Every document as a one-page PDF file whose content stream is its text."""
+def _as_files(spark, d, shapes=(), contents=None):
+    """Every document as a one-page PDF file: object 4 is a stream of ``contents`` (its text), the page is object 3; ``shapes`` are (number, dictionary, stream or null) of more objects, or in place of these."""
     from .session import cut
     from .sinks.pdf import write_pdf
     from .sources.pdf import Tables
 
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), "text")
-    shapes = ['{"Type":"/Catalog","Pages":{"r":[2,0]}}', '{"Type":"/Pages","Kids":[{"r":[3,0]}],"Count":1}', '{"Type":"/Page","Parent":{"r":[2,0]},"MediaBox":[0,0,612,792],"Contents":{"r":[4,0]}}', "{}"]
-    values = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("obj_num"), F.lit(s).alias("dict")) for k, s in enumerate(shapes)])).alias("o")
-    rows = docs.select("file_id", values, "text").select("file_id", "o.obj_num", F.lit(0).alias("gen_num"), "o.dict", F.when(F.col("o.obj_num") == 4, F.encode("text", "UTF-8")).alias("contents"))
-    objects = rows.withColumn("kind", F.when(F.col("contents").isNotNull(), "stream").otherwise("dict"))
+    plain = {1: '{"Type":"/Catalog","Pages":{"r":[2,0]}}', 2: '{"Type":"/Pages","Kids":[{"r":[3,0]}],"Count":1}', 3: '{"Type":"/Page","Parent":{"r":[2,0]},"MediaBox":[0,0,612,792],"Contents":{"r":[4,0]}}'}
+    own = {n: (text, None) for n, text in plain.items()} | {4: ("{}", F.encode("text", "UTF-8") if contents is None else contents)} | {n: (text, data) for n, text, data in shapes}
+    parts = [F.struct(F.lit(n).alias("obj_num"), F.lit(text).alias("dict"), (F.lit(None) if data is None else data).cast("binary").alias("contents")) for n, (text, data) in own.items()]
+    rows = docs.select("file_id", F.explode(F.array(*parts)).alias("o")).select("file_id", "o.obj_num", F.lit(0).alias("gen_num"), "o.dict", "o.contents")
+    objects = rows.withColumn("kind", F.when(F.col("contents").isNotNull(), "stream").when(F.col("dict").startswith("["), "array").otherwise("dict"))
     roots = docs.select("file_id", F.lit("Root").alias("key"), F.lit(1).alias("dst_num"), F.lit(0).alias("dst_gen"))
     return cut(write_pdf(Tables(objects, None, roots, None)))
 
@@ -425,3 +426,25 @@ SELECT DISTINCT doc_id AS file_id, 'F1' AS font, ('0x' || h)::INT AS code FROM (
 def pdf_used_codes_bytes(spark, d):
     """The same of whole texts, every byte of them."""
     return _shown_codes(spark, d, F.col("text"))
+
+
+#: Characters of the codes 128 to 159 in WinAnsi encoding; a blank where there is none.
+_HIGH = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+
+
+@query(f"""
+SELECT file_id, '6' AS font, 'Helvetica' AS base_font, code, CASE WHEN code BETWEEN 32 AND 126 OR code > 159 THEN chr(code) WHEN code > 127 THEN nullif(substr('{_HIGH}', code - 127, 1), ' ') END AS text
+FROM (SELECT DISTINCT doc_id AS file_id, ('0x' || h)::INT AS code FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents))""")
+def pdf_font_text(spark, d):
+    """Files written and parsed, then text of fonts: two content streams a page, resources behind references."""
+    from .plans.shown import font_text
+    from .session import cut
+    from .sources.pdf import PARSED, _parsed, tables_of
+
+    page = '{"Type":"/Page","Parent":{"r":[2,0]},"MediaBox":[0,0,612,792],"Contents":{"r":[7,0]},"Resources":{"r":[5,0]}}'
+    font = '{"Type":"/Font","Subtype":"/Type1","BaseFont":"/Helvetica","Encoding":"/WinAnsiEncoding"}'
+    shown = F.encode(F.concat(F.lit("<"), F.hex("text"), F.lit("> Tj ET")), "UTF-8")
+    shapes = [(3, page, None), (5, '{"Font":{"F1":{"r":[6,0]}}}', None), (6, font, None), (7, '[{"r":[4,0]},{"r":[8,0]}]', None), (8, "{}", shown)]
+    files = _as_files(spark, d, shapes, F.lit("BT /F1 12 Tf"))
+    t = tables_of(cut(files.mapInArrow(_parsed, PARSED)))
+    return font_text(t).select("file_id", "font", "base_font", "code", "text")

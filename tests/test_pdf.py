@@ -4,10 +4,12 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pdf_files import archival, bloated, build, fonts, images, ref, simple, tagged
 from paperloom.functions import codecs
 from paperloom.functions.fonts import aliases, to_unicode
+from paperloom.functions.text import batch_tier
 from paperloom.functions.tokens import tokenise, tokens, used_codes
 from paperloom.options import PRESETS, Options
 from paperloom.plans import inspect, passes
@@ -225,3 +227,39 @@ def test_read_files(spark, tmp_path):
     found = pdf.read_files(spark, str(tmp_path))
     assert found.count() == 2 and pdf.read_pdf(found).objects.count() == 8
     assert all(re.search(r"(?i)\.pdf$", r.path) for r in found.collect())
+
+
+def test_document_info_and_title(spark):
+    text = lambda raw: {"s": raw.hex()}
+    o = simple() | {7: {"Title": text(b"\xfe\xff" + "Čau".encode("utf-16-be")), "Author": text("é".encode("latin-1")), "Subject": text(b""), "Keywords": 3, "Producer": text(b"\xef\xbb\xbf" + "ž".encode()), "CreationDate": text(b"D:20240229123000+02'30'"), "ModDate": text(b"D:2023")}}
+    t = pdf.tables_of(cut(spark.createDataFrame([(1, bytearray(build(o, info=7))), (2, bytearray(build(simple())))], "file_id long, bytes binary").mapInArrow(pdf._parsed, pdf.PARSED)))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = inspect.document_info(t).selectExpr("*", "string(creation_date) as made", "string(modification_date) as changed").collect()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    got = {r.file_id: (r.page_count, r.title, r.author, r.subject, r.keywords, r.creator, r.producer, r.made, r.changed) for r in rows}
+    assert got == {1: (1, "Čau", "é", None, None, None, "ž", "2024-02-29 10:00:00", "2023-01-01 00:00:00"), 2: (1, *[None] * 8)}
+    assert {(r.file_id, r.title) for r in inspect.traits(t).collect()} == {(1, "Čau"), (2, None)}
+
+
+def test_audit_bundle(tables):
+    got = {r.file_id: (r.fonts_total, r.fonts_with_it, r.images, r.figures_total, r.figures_with_it, r.elements, r.max_depth) for r in inspect.audits(tables).collect()}
+    none = (None,) * 4
+    assert got == {1: (0, 0, 0, *none), 2: (2, 1, 0, *none), 3: (0, 0, 1, *none), 4: (2, 1, 0, *none), 5: (0, 0, 0, 2, 1, 4, 2), 6: (0, 0, 4, *none)}
+
+
+def test_hint_and_tier(spark, tables):
+    sizes = spark.createDataFrame([(1, 100, 50), (3, 100, 99), (6, 1000, 950)], "file_id long, original long, optimised long")
+    totals = inspect.category_totals(inspect.inspect_items(tables))
+    assert [r.file_id for r in inspect.lossy_hint(totals, sizes, False).collect()] == [6] and inspect.lossy_hint(totals, sizes, True).isEmpty()
+    assert [r[0] for r in spark.createDataFrame([(50 << 20,), (20 << 20,), (5,)], "n long").select(batch_tier(F.col("n"))).collect()] == ["large", "medium", None]
+
+
+def test_check_of_each_pass(files, monkeypatch):
+    def breaking(t, _):
+        return passes._without(t, t.objects.where("obj_num = 5").select("file_id", "obj_num")), t.objects.groupBy("file_id").count().selectExpr("file_id", "'left' as counter", "count as n")
+
+    monkeypatch.setattr(passes, "PASSES", (("Breaking", breaking), ("Again", breaking)))
+    t = pdf.tables_of(cut(files.where("file_id = 2").mapInArrow(pdf._parsed, pdf.PARSED)))
+    _, stats = passes.optimize(t, Options(check_each_pass=True))
+    assert [(r["pass"], r.counter, r.n) for r in stats.where("counter like 'dangling%'").collect()] == [("Breaking", "dangling:Font", 1)]
