@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,20 +23,38 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def released(batches: Iterator) -> Iterator:
-    """The batches; then what the task leaves behind goes back to the system, since Python workers outlive tasks and stages."""
-    yield from batches
+def release() -> None:
+    """What this Python worker has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; then what the task leaves behind goes back to the system, since Python workers outlive tasks and stages. Code that came by value is in reference cycles."""
+    yield from batches
+    gc.collect()
+    release()
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow``, leaving no memory behind."""
     return df.mapInArrow(lambda batches: released(f(batches)), schema)
 
 
+def map_groups(df: DataFrame, key: str, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``df.groupBy(key).applyInArrow``; no group leaves memory behind, as none knows whether it is its task's last."""
+
+    def one(group: pa.Table) -> pa.Table:
+        out = f(group)
+        del group
+        release()
+        return out
+
+    return df.groupBy(key).applyInArrow(one, schema)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column over the whole table; sizes the number of buckets, never what is processed."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

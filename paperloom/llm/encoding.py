@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from .hashing import chunks
 
 #: Bytes of texts that are encoded together; parts that the library gets at once; parts after which all are forgotten; bytes of a part that is remembered.
-STEP, AT_ONCE, REMEMBERED, LONGEST = 4 << 20, 4_000, 300_000, 64
+STEP, AT_ONCE, REMEMBERED, LONGEST = 2 << 20, 4_000, 300_000, 64
 #: Characters that the library gets at once, or one text: its answers take a hundred bytes an id.
 AT_ONCE_CHARS = 1 << 18
 #: Texts that go to the library whole: rare white space, and what looks like a special token.
@@ -40,7 +40,30 @@ def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     """The stretches of ``values`` that begin at ``first``, one after the other."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(first - (ends - size), size)] if total else values[:0]
+    if not total:
+        return values[:0]
+    place = np.repeat(first - (ends - size), size)
+    place += np.arange(total)
+    return values[place]
+
+
+def _loaded(path: str, drops_space: bool) -> tuple:
+    """(tokenizer, ids that part the runs of letters of one text), loaded once a Python worker.
+
+    They are kept at the library's own module: this one travels by value, so each task has a new one. Loading
+    anew in each task costs 0.4 seconds, and scattered memory that doesn't go back to the system.
+    """
+    import tokenizers
+
+    file = os.stat(path)
+    key, kept = (path, file.st_mtime_ns, file.st_size, drops_space), tokenizers.__dict__.setdefault("_paperloom_loaded", {})
+    if key not in kept:
+        kept.clear()
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        names = (tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size()))
+        # ids that end a word, or that begin with a blank
+        kept[key] = tokenizer, np.fromiter((x.endswith("</w>") if drops_space else x.startswith("Ġ") for x in names), bool)
+    return kept[key]
 
 
 class Encoder:
@@ -48,13 +71,8 @@ class Encoder:
 
     def __init__(self, path: str, drops_space: bool, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end, self.drops_space = Tokenizer.from_file(path), end, drops_space
-        self.normalizer = self.tokenizer.normalizer
-        # ids that end a word, or that begin with a blank: they part the runs of letters of one text
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.parts = np.array([x.endswith("</w>") if drops_space else x.startswith("Ġ") for x in names])
+        self.tokenizer, self.parts = _loaded(path, drops_space)
+        self.end, self.drops_space = end, drops_space
         self._forget()
 
     def _forget(self) -> None:
@@ -77,16 +95,19 @@ class Encoder:
     def _joined(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters, each after a blank unless blanks are dropped, as one text at a time."""
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        normalizer = self.tokenizer.normalizer
         self.tokenizer.normalizer = None  # runs are lower case already where it would make them so, and nothing else in them changes
-        for k in range(0, len(runs), AT_ONCE):
-            some = runs[k : k + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            marks = np.flatnonzero(self.parts[ids])
-            edges = np.r_[0, marks + 1] if self.drops_space else np.r_[marks, len(ids)]
-            ids, size = (ids, np.diff(edges)) if len(edges) == len(some) + 1 else self._each(some)
-            flat.append(ids)
-            sizes.append(size)
-        self.tokenizer.normalizer = self.normalizer
+        try:
+            for k in range(0, len(runs), AT_ONCE):
+                some = runs[k : k + AT_ONCE]
+                ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                marks = np.flatnonzero(self.parts[ids])
+                edges = np.r_[0, marks + 1] if self.drops_space else np.r_[marks, len(ids)]
+                ids, size = (ids, np.diff(edges)) if len(edges) == len(some) + 1 else self._each(some)
+                flat.append(ids)
+                sizes.append(size)
+        finally:
+            self.tokenizer.normalizer = normalizer  # the tokenizer outlives the task, whatever becomes of that
         return np.concatenate(flat), np.concatenate(sizes)
 
     def _remembered(self, parts: list[str], encode) -> np.ndarray:

@@ -59,3 +59,18 @@ def test_ids_come_back_from_files(spark):
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in C.read_tokens(spark, folder, manifest).collect()}
     whole = Tokenizer.from_file(C.tokenizer_path(C.TOKENIZER))
     assert got == {1: whole.encode("a").ids + [0], 2: whole.encode("b b").ids + [0]}
+
+
+def test_tasks_of_a_worker_share_a_tokenizer():
+    import pytest
+    from paperloom.llm.encoding import Encoder
+    from paperloom.llm.packing import TOKENIZER, tokenizer_path
+
+    path = tokenizer_path(C.TOKENIZER)
+    assert Encoder(path, False, 0).tokenizer is Encoder(path, False, 0).tokenizer
+    damaged = Encoder(tokenizer_path(TOKENIZER), True, 2)
+    before = str(damaged.tokenizer.normalizer)
+    damaged.parts = None  # a task that fails half way leaves the tokenizer as it was
+    with pytest.raises(TypeError):
+        damaged._joined(["abc"])
+    assert before != "None" and str(damaged.tokenizer.normalizer) == before
