@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, map_arrow
+from .common import cut, join_small, map_arrow, map_groups
 from .components import components
 from .hashing import SENT, chunks, mixed, sequences, slices, word_hashes
 from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
@@ -158,7 +158,7 @@ def _screen(docs: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> Da
     """doc_id of documents whose extended prefix has enough tokens that others have too; equal sets count as others here."""
     buckets = bucket_count(docs)
     sent = map_arrow(docs, lambda b: _send(b, shingle, percent, buckets), SCHEMA)
-    hits = sent.groupBy("bucket").applyInArrow(lambda g: _reply(g, buckets), "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    hits = map_groups(sent, "bucket", lambda g: _reply(g, buckets), "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
     e = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
     needed = F.least(F.greatest(F.lit(1), F.floor((e + 1) / 2)), F.col("n") - e)
     return hits.join(sizes.groupBy("doc_id").agg(F.min("n").alias("n")), "doc_id").where(F.col("hits") >= needed).select("doc_id")
@@ -217,7 +217,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lambda x: _verified(x, percent), "a long, b long")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), lambda x: _verified(x, percent), "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rare: int = RARE, combine: int = COMBINE) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +276,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id; one row per row of the input."""
     classes, labels = jaccard_links(docs, shingle, percent)
     found = classes.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    unnamed = docs.where("doc_id is null").select("doc_id", "text").mapInArrow(lambda x: _signed(x, shingle, False), _SIGNED)
+    unnamed = map_arrow(docs.where("doc_id is null").select("doc_id", "text"), lambda x: _signed(x, shingle, False), _SIGNED)
     return found.unionByName(unnamed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

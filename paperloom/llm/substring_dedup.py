@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, map_arrow
+from .common import cut, join_small, map_arrow, map_groups
 from .hashing import SENT, chunks, sequences, slices, word_hashes
 from .packed import SCHEMA, bucket_count, dealt, grouped, known, of_several, rows, unpack_all
 
@@ -96,7 +96,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, pos) of every anchor at a cover position that another document has at one; a few hash collisions more."""
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     sent = map_arrow(texts, lambda batches: _send(batches, buckets), SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(lambda group: _reply(group, buckets), "doc_id long, pos int")
+    return map_groups(sent, "bucket", lambda group: _reply(group, buckets), "doc_id long, pos int")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = shared_anchors(docs, buckets).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("pos").alias("found"))
     near = texts.join(found, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
     windows = map_arrow(near, lambda batches: _windows(batches, buckets), SCHEMA)
-    again = windows.groupBy("bucket").applyInArrow(lambda group: _judge(group, buckets), "doc_id long, start int")
+    again = map_groups(windows, "bucket", lambda group: _judge(group, buckets), "doc_id long, start int")
     return again.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("start").alias("starts"))
 
 

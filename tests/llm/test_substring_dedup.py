@@ -68,3 +68,19 @@ def test_stage_keeps_columns_and_other_texts(spark):
     assert after.columns == before.columns and after.count() == 9
     texts = {r.doc_id: r.text for r in after.collect()}
     assert texts[7] == "" and texts[4] == LONG and texts[3] == " \n\t " and texts[1] is None
+
+
+def test_groups_give_their_memory_back(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from paperloom.llm import common
+
+    table = spark.range(20).select((F.col("id") % 5).alias("bucket"), "id")
+    got = common.map_groups(table, "bucket", lambda g: g.select(["id"]), "id long")
+    assert sorted(r.id for r in got.collect()) == list(range(20))
+    plain, seen = common.release, []
+    monkeypatch.setattr(common, "release", lambda: seen.append(plain()))
+    held = []
+    monkeypatch.setattr(type(table), "groupBy", lambda self, key: type("G", (), {"applyInArrow": lambda _, f, schema: held.append(f)})())
+    common.map_groups(table, "bucket", lambda g: g, "id long")
+    assert held[0]("a group") == "a group" and len(seen) == 1
